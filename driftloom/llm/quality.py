@@ -2,13 +2,11 @@
 
 Each rule votes good, bad or abstains. Expectation-maximisation over the counts of vote patterns of the whole
 corpus estimates how often each rule casts each vote on good and on bad documents; the posterior probability of
-"good" then decides, instead of asking that all rules pass. A good vote never lowers the posterior and a bad vote
-never raises it, so a document on which all rules vote good is kept in any corpus.
+"good" then decides, instead of asking that all rules pass.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -105,35 +103,46 @@ def votes_of(pattern: np.ndarray, n_rules: int = len(RULES)) -> np.ndarray:
     return np.stack([pattern // 3 ** (n_rules - 1 - k) % 3 for k in range(n_rules)], axis=1)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int = len(RULES), *, rounds: int = 200, smooth: float = 1.0) -> dict:
+def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int = len(RULES), *, rounds: int = 200, smooth: float = 1.0, false_alarm: float = 0.001) -> dict:
     """Expectation-maximisation on vote patterns and their counts.
 
-    Returns posterior (of "good", by pattern), prior, and rates[class, rule, vote] with class 0 bad, 1 good. It
-    begins with the patterns that have a bad vote as bad. The likelihood ratio of a good vote is held at 1 or
-    more, that of a bad vote at 1 or less, and an abstention says nothing."""
+    A document is good (class 0) or bad in the way that one of the rules looks for (class 1 + rule): documents that
+    are bad in different ways have hardly a vote in common, and one class of bad would fit only the commonest way.
+    Returns posterior (of "good", by pattern), prior (by class) and rates[class, rule, vote], the estimated chances
+    of a vote 0 bad, 1 abstains, 2 good. It begins with the patterns that have a bad vote as bad. Two bounds keep the
+    classes to their meaning: a rule calls a good document bad, or a document with its own fault good, in
+    ``false_alarm`` of the cases at most. Ties of EM's start are broken by nothing but the votes, so the result
+    depends on the counts alone."""
     patterns, counts = np.asarray(patterns, np.int64), np.asarray(counts, float)
     if not len(patterns):
-        return {"posterior": np.empty(0), "prior": 0.5, "rates": np.full((2, n_rules, 3), 1 / 3)}
+        return {"posterior": np.empty(0), "prior": np.full(1 + n_rules, 1 / (1 + n_rules)), "rates": np.full((1 + n_rules, n_rules, 3), 1 / 3)}
     votes = votes_of(patterns, n_rules)
-    bad, good = (votes == 0).sum(1), (votes == 2).sum(1)
-    p = np.where(bad > 0, 0.05, np.where(good > 0, 0.95, 0.5))
+    bad = votes == 0
+    any_bad = bad.any(1)
+    p = np.empty((len(patterns), 1 + n_rules))
+    p[:, 0] = np.where(any_bad, 0.05, 0.95)
+    p[:, 1:] = np.where(any_bad[:, None], 0.95 * bad / np.maximum(1, bad.sum(1, keepdims=True)), 0.05 / n_rules)
     rules = np.arange(n_rules)
-    rates, prior = np.zeros((2, n_rules, 3)), 0.5
+    hot = np.eye(3)[votes]
+    rates, prior = np.zeros((1 + n_rules, n_rules, 3)), np.zeros(1 + n_rules)
     for _ in range(rounds):
-        prior = min(0.999, max(0.001, float((p * counts).sum() / counts.sum())))
-        for c, weight in ((0, (1 - p) * counts), (1, p * counts)):
-            for v in range(3):
-                rates[c, :, v] = ((votes == v) * weight[:, None]).sum(0) + smooth
+        weight = p * counts[:, None]
+        prior = (weight.sum(0) + smooth) / (weight.sum() + smooth * (1 + n_rules))
+        rates = np.einsum("pc,prv->crv", weight, hot) + smooth
         rates /= rates.sum(2, keepdims=True)
-        log = np.log(rates[1]) - np.log(rates[0])
-        log[:, 0], log[:, 1], log[:, 2] = np.minimum(log[:, 0], 0), 0, np.maximum(log[:, 2], 0)
-        odds = math.log(prior / (1 - prior)) + log[rules, votes].sum(1)
-        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if np.abs(new - p).max() < 1e-9:
-            p = new
-            break
+        for at, vote in ((np.zeros(n_rules, int), 0), (1 + rules, 2)):
+            over = np.minimum(rates[at, rules, vote], false_alarm)
+            rest = rates[at, rules].sum(1) - rates[at, rules, vote]
+            rates[at, rules] *= ((1 - over) / rest)[:, None]
+            rates[at, rules, vote] = over
+        log = np.log(prior) + np.einsum("prv,crv->pc", hot, np.log(rates))
+        new = np.exp(log - log.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - p).max() < 1e-9
         p = new
-    return {"posterior": p, "prior": prior, "rates": rates}
+        if done:
+            break
+    return {"posterior": p[:, 0], "prior": prior, "rates": rates}
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
