@@ -15,6 +15,16 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lm import lm_scores
+
+    target = read_table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    scored = lm_scores(read_table(spark, sf_dir, "documents"), target)
+    return scored.select("doc_id", "n_words", *(F.round(c, 4).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -45,6 +55,18 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch, which is sent twice."""
+    from ._base import new_folder
+    from .rollup import TokenRollup, inserts
+
+    rollup = TokenRollup(spark, new_folder(spark, "rollup"))
+    changes = inserts(read_table(spark, sf_dir, "documents"), {"words-1": "", "byte_bpe_50k-1": _tokenizer("byte_bpe_50k.json")})
+    for _ in range(2):
+        rollup.commit("documents", changes)
+    return rollup.totals()
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
