@@ -1,4 +1,74 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality rules, near duplicates, benchmark decontamination, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage before it kept, and returns a
+DataFrame; all but the last return the columns of ``documents``. Ids that are NULL are one id; exact repetitions of a
+row are dropped with the near duplicates.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.llm._base import id_key, read_table, stage
+from driftloom.llm.decontam import decontaminate
+from driftloom.llm.jaccard import jaccard_join
+from driftloom.llm.packing import pack
+from driftloom.llm.pii import redact
+from driftloom.llm.quality import quality_rules
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) among ``ids``."""
+    wanted = ids.select(id_key("doc_id").alias("__id")).distinct()
+    return docs.withColumn("__id", id_key("doc_id")).join(wanted, "__id", how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _by_id(docs, quality_rules(docs).filter("kept"), "left_semi").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates."""
+    first = jaccard_join(docs).filter("doc_id <=> component_id")
+    kept = _by_id(docs, first, "left_semi").withColumn("__text", F.xxhash64("text"))
+    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text of the benchmark."""
+    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return _by_id(docs, found, "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars is that of the new text."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("best-fit packing", packing),
+]
+#: SQL expresses neither the estimated models nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, f) in enumerate(STAGES, 1):
+        docs = f(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = stage(docs, "pipeline")
+    return docs
