@@ -3,7 +3,7 @@
 Documents become pieces of at most ``size`` tokens. What the driver sees is the histogram of piece lengths, which
 has ``size`` bins at most. Patterns of a few lengths that fill a sequence are enumerated, their repeat counts are
 fitted to the histogram by an active-set non-negative least squares, rounded so that no length is used more often
-than it occurs, and what is left is packed best fit first. The plan says which ranks of which length go where;
+than it occurs, and what is left is packed best fit first, the longest ahead. The plan says which ranks of which length go where;
 pieces get ranks without any group of equal lengths meeting in one task.
 """
 
@@ -113,26 +113,35 @@ def best_fit(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     return out
 
 
+#: Shares of the fitted counts that are fixed; what is left goes to the residual packing.
+SHARES = (1.0, 0.9, 0.7, 0.4, 0.1)
+
+
 def plan(histogram: dict[int, int], size: int, depth: int = 3) -> dict[tuple[int, ...], int]:
-    """Patterns and repeat counts that use every piece once."""
-    left = {k: v for k, v in histogram.items() if v}
-    out: dict[tuple[int, ...], int] = defaultdict(int)
-    if left:
-        h = np.zeros(size + 1, np.int64)
-        for k, v in left.items():
-            h[k] = v
-        found, x = nnls(patterns(np.array(sorted(left)), size, depth), h)
+    """Patterns and repeat counts that use every piece once. The fitted counts are rounded at several shares of them,
+    since the fit can use up lengths that the residual needs; of the plans, the one of fewest sequences is taken."""
+    whole = {k: v for k, v in histogram.items() if v}
+    if not whole:
+        return {}
+    h = np.zeros(size + 1, np.int64)
+    for k, v in whole.items():
+        h[k] = v
+    found, x = nnls(patterns(np.array(sorted(whole)), size, depth), h)
+    plans = []
+    for share in SHARES:
+        left, out = dict(whole), defaultdict(int)
         for j in np.argsort(-x, kind="stable").tolist():
             parts = [p for p in found[j].tolist() if p]
             need = {p: parts.count(p) for p in parts}
-            k = min(int(round(x[j])), *(left.get(p, 0) // n for p, n in need.items()))
+            k = min(int(round(share * x[j])), *(left.get(p, 0) // n for p, n in need.items()))
             if k > 0:
                 out[tuple(parts)] += k
                 for p, n in need.items():
                     left[p] -= k * n
         for pattern, n in best_fit({k: v for k, v in left.items() if v}, size).items():
             out[pattern] += n
-    return out
+        plans.append(out)
+    return min(plans, key=lambda p: sum(p.values()))
 
 
 def slots(packed: dict[tuple[int, ...], int]) -> list[tuple[int, int, int, int, int]]:
