@@ -95,6 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import license_scan
+    from .oracles import SQL
 
-    return {"op9_license_scan": f"SELECT * REPLACE (round(score, 6) AS score) FROM ({license_scan.oracle()})"}
+    return dict(SQL)
