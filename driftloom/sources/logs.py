@@ -48,7 +48,7 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     kinds = ("string", "date", "int", "float", "boolean")
 
     def entries(get, prefix=""):
-        parts = [F.coalesce(F.transform(get(k), lambda a: F.struct(F.concat(F.lit(prefix), a["_key"]).alias("key"), a["_value"].alias("value"))), F.array().cast("array<struct<key: string, value: string>>")) for k in kinds]
+        parts = [F.coalesce(F.transform(get(k), lambda a: F.named_struct(F.lit("key"), F.concat(F.lit(prefix), a["_key"]), F.lit("value"), a["_value"])), F.array().cast("array<struct<key: string, value: string>>")) for k in kinds]
         return F.map_from_entries(F.concat(*parts))
 
     rows = raw.withColumn("__file", F.input_file_name()).withColumn("__n", F.monotonically_increasing_id())
