@@ -5,12 +5,14 @@ of its group counts: two sets share at most the sum of the coordinate-wise minim
 sum falls short of what the threshold asks for is dismissed without looking at the sets.
 
 The index over all points is kept in blocks. A block holds the documents that have one shingle in common among the
-first ``n - ceil(t n) + 1`` of their shingles in the order of their hashes; any two sets that reach the threshold t
-meet in a block. Blocks of a few documents give their pairs at once. Larger ones first give only pairs of neighbours
-in size, and once these links have made components, a packed R-tree over a block's points (bounding boxes are
-coordinate maxima; a box that holds a single component is skipped by its members) gives the pairs between different
-components that the bound lets through. All pairs are verified on the whole sets. Equal sets are one node from the
-start. So no link between different components is lost, and no block's pairs are ever listed.
+first ``n - ceil(t n) + 1`` of their shingles; any two sets that reach the threshold t meet in a block, whatever the
+order of shingles, and the order taken is by hash with the most frequent shingles last: a passage that many documents
+share makes blocks only of those that hold little else. Blocks of a few documents give their pairs at once. Larger
+ones first give only pairs of neighbours in size, and once these links have made components, a packed R-tree over a
+block's points (bounding boxes are coordinate maxima; a box that holds a single component is skipped by its members)
+gives the pairs between different components that the bound lets through. All pairs are verified on the whole sets,
+by clusters of candidates so that each set travels once. Equal sets are one node from the start. So no link between
+different components is lost, and no block's pairs are ever listed.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ from ._words import rolling, word_hashes
 GROUPS = 128
 #: Blocks up to this size give all pairs at once.
 SMALL = 8
+#: Shingles of more documents than this come last in the order of shingles, and so many of them at most; the others
+#: keep their place, which costs time but no links.
+FREQUENT, FREQUENT_MOST = 16, 500_000
+#: Candidate clusters up to this size are verified in one place, larger ones pair by pair.
+CLUSTER = 1_000
 #: Documents of a block that one task compares with as many others.
 CHUNK = 2_000
 LEAF = 32
@@ -91,7 +98,33 @@ class RTree:
         return self.order[at[survive(self.points[at], point, self.n[at], n, t)]]
 
 
+def _prefix(s: np.ndarray, t: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    n = len(s) - need(len(s), t) + 1 if len(s) else 0
+    if frequent is not None and len(frequent) and n:
+        last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        if last.any():
+            s = np.concatenate([s[~last], s[last]])
+    return s[:n]
+
+
+def _frequent(docs: DataFrame, k: int, t: int) -> np.ndarray:
+    """The shingles of most documents among the first of each document by hash, sorted."""
+
+    def run(batches):
+        for b in batches:
+            held = [_prefix(shingles(text, k), t) for text in b.column(0).to_pylist()]
+            token, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+            for at in range(0, len(token), 100_000):
+                yield pa.RecordBatch.from_pydict({"token": token[at : at + 100_000].view(np.int64), "n": n[at : at + 100_000].astype(np.int64)})
+
+    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token")
+    return np.sort(top.toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def _signatures(docs: DataFrame, k: int, t: int) -> DataFrame:
+    last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, t))
+
     def run(batches):
         for b in batches:
             n, digest, point, prefix = [], [], [], []
@@ -100,7 +133,7 @@ def _signatures(docs: DataFrame, k: int, t: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 point.append(counts(s).tobytes())
-                prefix.append(s[: len(s) - need(len(s), t) + 1 if len(s) else 0].view(np.int64))
+                prefix.append(_prefix(s, t, last.value).view(np.int64))
             sizes = np.cumsum([0, *map(len, prefix)])
             lists = pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)]))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict({"doc": b.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "point": pa.array(point, pa.binary()), "prefix": lists})
@@ -118,8 +151,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Whole shingle sets of the documents with these ids; texts aren't shuffled for it."""
+def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Whole shingle sets of the documents in the pairs, and of a few others; texts aren't shuffled for it."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
     h = [F.pmod(x, F.lit(1 << BLOOM_BITS)) for x in (F.xxhash64("doc"), F.xxhash64("doc", F.lit(1)))]
 
@@ -135,23 +169,54 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for k0 in range(0, len(text), 1_000):
                 yield pa.RecordBatch.from_pydict({"doc": doc.slice(k0, 1_000), "set": pa.array([shingles(x, k).tobytes() for x in text[k0 : k0 + 1_000]], pa.binary())})
 
-    return docs.select("doc", "text", h[0].alias("h0"), h[1].alias("h1")).mapInArrow(run, "doc long, set binary").join(ids, "doc", "left_semi")
+    return docs.select("doc", "text", h[0].alias("h0"), h[1].alias("h1")).mapInArrow(run, "doc long, set binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    def run(batches):
+def similar(x: bytes, y: bytes, t: int) -> bool:
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= t * (len(p) + len(q) - same)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, t: int) -> DataFrame:
+    """Links among the pairs that make the same components as all of them."""
+    sets = stage(_sets(docs, pairs, k), "sets")
+    cluster = components(pairs)
+    size = cluster.groupBy("component").agg(F.count("*").alias("size")).withColumnRenamed("component", "c")
+    cluster = stage(cluster.join(size, F.col("component") == F.col("c")).select("node", "component", "size"), "clusters")
+    of = pairs.join(cluster.select(F.col("node").alias("a"), F.col("component").alias("left_of"), "size"), "a")
+
+    def within(key, pair, sets_):
+        held = dict(zip(sets_.column("doc").to_pylist(), sets_.column("set").to_pylist(), strict=True))
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for a, b in zip(pair.column("a").to_pylist(), pair.column("b").to_pylist(), strict=True):
+            if root(a) != root(b) and similar(held[a], held[b], t):
+                up[root(a)] = root(b)
+                out.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    small = cluster.filter(f"size <= {CLUSTER}").select(F.col("node").alias("doc"), F.col("component").alias("right_of"))
+    mine = sets.join(small, "doc").select("right_of", "doc", "set")
+    found = of.filter(f"size <= {CLUSTER}").select("left_of", "a", "b").groupBy("left_of").cogroup(mine.groupBy("right_of")).applyInArrow(within, "a long, b long")
+
+    def each(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= t * (len(p) + len(q) - same))
+            ok = [similar(x, y, t) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             at = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_pydict({"a": b.column(0).take(at), "b": b.column(1).take(at)})
 
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
-    return left.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    rest = of.filter(f"size > {CLUSTER}").select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
+    rest = rest.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    return found.union(rest)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, t: int) -> DataFrame:
@@ -194,6 +259,13 @@ def _across(large: DataFrame, comp: DataFrame, points: DataFrame, t: int) -> Dat
     return full.groupBy("token", "chunk_a", "chunk_b").applyInArrow(run, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs between different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def jaccard_join(docs: DataFrame, *, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id: the smallest doc_id reachable by links of at least
     ``threshold`` percent Jaccard similarity between sets of distinct k-word shingles, ASCII letters in lower case.
@@ -217,19 +289,12 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, threshold: int = 80, id_col: st
     points = ours.select("doc", "n", "point")
     pairs = stage(_bounded(pairs, points, threshold), "pairs")
     large = blocks.filter(f"size > {SMALL}").select("token", "doc", "n")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(large.select("doc")).distinct()
-    sets = stage(_sets(rows, wanted, k), "sets")
-
-    # First each document's likeliest pair, then whatever these links leave in different components.
-    best = pairs.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))).filter("at = 1").select("a", "b")
-    links = stage(_verify(best, sets, threshold), "links")
-    for more in (lambda c: pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), lambda c: _across(large, c, points, threshold)):
-        comp = components(links)
-        found = more(comp)
-        for side in ("a", "b"):
-            found = found.join(comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        found = found.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        links = stage(links.union(_verify(found, sets, threshold)), "links")
+
+    links = stage(_verify(pairs, rows, k, threshold), "links")
+    comp = stage(components(links), "components")
+    more = stage(_apart(_across(large, comp, points, threshold), comp), "pairs")
+    if not more.isEmpty():
+        links = stage(links.union(_verify(more, rows, k, threshold)), "links")
     comp = stage(components(links), "components")
     out = sig.select("doc", "n", "digest").join(reps, "digest", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     whose = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
