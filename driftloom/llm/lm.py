@@ -20,8 +20,8 @@ from ._base import id_key
 
 VOCABULARY = 2_048
 #: Words that a task counts before it hands on what it has.
-COUNT_AT_ONCE = 4_000_000
-_FLUSH = 400_000
+COUNT_AT_ONCE = 2_000_000
+_FLUSH = 250_000
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text") -> list[bytes]:
@@ -120,7 +120,8 @@ def lm_scores(docs: DataFrame, target_ids: DataFrame, *, size: int = VOCABULARY,
     size = len(words) + 1
     rows = docs.select(id_key(id_col).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     wanted = target_ids.select(F.col(id_col).cast("long").alias("doc")).dropna().distinct().withColumn("target", F.lit(True))
-    marked = rows.join(wanted, "doc", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # By merge at every size: how ids and texts meet shouldn't turn on how many ids there are.
+    marked = rows.join(wanted.hint("merge"), "doc", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     found = bigram_counts(marked, words).toArrow()
     pair, target, total = (found.column(k).to_numpy() for k in range(3))
     tables = spark.sparkContext.broadcast((words, losses(pair, target, size), losses(pair, total, size)))
