@@ -20,9 +20,10 @@ from driftloom.llm.quality import quality_rules
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) among ``ids``."""
+    """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) among ``ids``; by merge at every size, as the ids
+    grow with the documents."""
     wanted = ids.select(id_key("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", id_key("doc_id")).join(wanted, "__id", how)
+    return docs.withColumn("__id", id_key("doc_id")).join(wanted.hint("merge"), "__id", how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
