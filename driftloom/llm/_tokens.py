@@ -9,21 +9,30 @@ from collections.abc import Iterable
 import numpy as np
 
 #: White space other than the four plain kinds: such texts are encoded as a whole.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+ODD_SPACE = ODD_ASCII + "\x85\xa0                　"
 #: Words that a worker keeps encoded; later words are encoded each time they occur.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 690_000
+#: A pre-tokenizer always parts such a mark from a letter before it.
+MARKS = frozenset(".,;:!?")
 
 
 class WordCache(dict):
     """Little-endian uint32 ids by word. A pre-tokenizer never joins a word to what follows white space, so a
-    text's ids are its words' ids one after the other."""
+    text's ids are its words' ids one after the other. A last mark is looked up by itself, and so, where the
+    tokenizer lowers letters, is a word of Latin letters in lower case: most new words are known ones so varied."""
 
-    def __init__(self, tokenizer, most: int = CACHED_WORDS):
+    def __init__(self, tokenizer, lowers: bool, most: int = CACHED_WORDS):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.tokenizer, self.lowers, self.most = tokenizer, lowers, most
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) > 1 and word[-1] in MARKS and word[-2].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif self.lowers and word != (low := word.lower()) and max(word) < "\u0180" and "\u0130" not in word:
+            ids = self[low]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) < self.most:
             self[word] = ids
         return ids
@@ -41,14 +50,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = WordCache(self.tokenizer)
-        keeps_space = bool(self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a  b", add_special_tokens=False).ids)
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        keeps_space = ids("a b") != ids("a  b")
+        self.cache = WordCache(self.tokenizer, lowers=ids("AbC") == ids("abc"))
         self.words = re.compile(r"\s*\S+|\s+").findall if keeps_space else str.split
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
+        if any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.cache.__getitem__, self.words(text)))
 

@@ -62,7 +62,7 @@ def _store(uri: str):
 
 
 class ShardWriter:
-    def __init__(self, out, kind: str = "byte", block: int = BLOCK, level: int = 3):
+    def __init__(self, out, kind: str = "byte", block: int = BLOCK, level: int = 1):
         import zstandard
 
         self.out, self.kind, self.block = out, kind, block
