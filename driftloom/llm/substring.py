@@ -3,10 +3,10 @@
 A document is factored against every earlier text of the corpus. The reference is an index of the windows of
 ``window`` words at their earliest place, cut into blocks: a window belongs to the block of its anchor, the least
 5-word hash in it, so equal windows always meet in one block and neighbouring windows mostly share a block and
-travel as one row. A window found earlier elsewhere is the seed of a factor; seeds in a row that keep the same
-distance to their source are one factor. The document is then parsed greedily, at each word taking the factor that
-reaches furthest; as each factor is checked from the start of its match and not from the last factor's end, no match
-of ``window`` words is lost at a boundary.
+travel as one row. Windows of one anchor are told apart by 64-bit hashes of their words. A window found earlier
+elsewhere is the seed of a factor; seeds in a row that keep the same distance to their source are one factor. The
+document is then parsed greedily, at each word taking the factor that reaches furthest; as each factor is checked from
+the start of its match and not from the last factor's end, no match of ``window`` words is lost at a boundary.
 
 Windows that repeat within a block of documents that a task reads together are settled there, so a passage that
 many documents share is sent once for each such block and not once for each document.
@@ -42,7 +42,7 @@ def _runs(doc: np.ndarray, pos: np.ndarray, src_doc: np.ndarray, src_pos: np.nda
 
 
 def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch | None:
-    """Rows to be dealt by anchor: windows not seen in these documents before (data: 32-bit hashes), and, with a
+    """Rows to be dealt by anchor: windows not seen in these documents before (data: 64-bit hashes), and, with a
     start below 0, factors found among them (data: windows, source, its start)."""
     docs.sort(key=lambda d: d[0])
     sizes = np.array([len(w) for _, w in docs])
@@ -73,9 +73,9 @@ def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch |
     cut = np.ones(len(i), bool)
     cut[1:] = (np.diff(i) != 1) | (anchor[i][1:] != anchor[i][:-1]) | (of[i][1:] != of[i][:-1])
     c = np.flatnonzero(cut)
-    raw = (whole[i] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-    ends = 4 * np.append(c[1:], len(i))
-    data = [raw[a:b] for a, b in zip((4 * c).tolist(), ends.tolist(), strict=True)]
+    raw = whole[i].astype("<u8").tobytes()
+    ends = 8 * np.append(c[1:], len(i))
+    data = [raw[a:b] for a, b in zip((8 * c).tolist(), ends.tolist(), strict=True)]
     i = i[c]
     return pa.RecordBatch.from_pydict(
         {
@@ -103,9 +103,9 @@ def _seek(batches):
             out.append((doc[s], -1 - start[s].astype(np.int64), *(np.array(x, np.int64) for x in zip(*got, strict=True))))
         if len(k := np.flatnonzero(start >= 0)):
             held = [data[x] for x in k.tolist()]
-            sizes = np.array([len(x) // 4 for x in held])
+            sizes = np.array([len(x) // 8 for x in held])
             kk = np.repeat(key[k], sizes)
-            w = mix(kk.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.frombuffer(b"".join(held), "<u4").astype(np.uint64)))
+            w = mix(kk.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.frombuffer(b"".join(held), "<u8")))
             d = np.repeat(doc[k], sizes)
             p = np.arange(len(kk)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start[k].astype(np.int64), sizes)
             skip = 0
