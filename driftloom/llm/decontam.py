@@ -4,7 +4,8 @@ Words become lower case without punctuation; numbers, names (a capital within a
 become typed placeholders. Windows of canonical words are hashed and joined with those of the benchmark, so an item
 that was copied with other numbers or names still meets its source. Matches on one diagonal (place in the document
 less place in the item) are put together, and what stands in the slots is compared: each value of the item has to
-stand for one value of the document throughout, as in a question with new parameters.
+stand for one value of the document throughout, as in a question with new parameters. A window of mostly placeholders says
+too little once its values are gone, so it is joined on its words as they stand.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-#: Words of a window that aren't placeholders, at least.
+#: Words of a window that aren't placeholders, at least, for it to match with other values; with fewer it matches
+#: only word for word.
 PLAIN = 4
 #: Benchmark windows up to which they are broadcast; beyond it both sides are dealt by hash.
 BROADCAST_ROWS = 500_000
@@ -35,12 +37,21 @@ def _canonical(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t < "\x04", F.substring(t, 1, 1)).otherwise(t))
 
 
+def _raw(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t < "\x04", F.substring(t, 2, 1 << 30)).otherwise(t))
+
+
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per window: keep, tokens, at, key."""
+    """A row per window: keep, tokens, at, key. The key is that of the canonical words or, with fewer than PLAIN plain
+    ones, of the words without marks (a first word may be a name in one text and open a sentence in the other)."""
     at = F.col("at")
-    w = df.select(*keep, "tokens", _canonical(F.col("tokens")).alias("canon")).filter(F.size("canon") >= WINDOW)
-    w = w.select(*keep, "tokens", "canon", F.explode(F.sequence(F.lit(0), F.size("canon") - WINDOW)).alias("at"))
-    return w.select(*keep, "tokens", "canon", "at", F.xxhash64(*(F.get("canon", at + j) for j in range(WINDOW))).alias("key"))
+    w = df.select(*keep, "tokens", _canonical(F.col("tokens")).alias("canon"), _raw(F.col("tokens")).alias("words")).filter(F.size("canon") >= WINDOW)
+    w = w.select(*keep, "tokens", "canon", "words", F.explode(F.sequence(F.lit(0), F.size("canon") - WINDOW)).alias("at"))
+    # No lambdas from here to the join: they end the generated code, which then holds all windows of a text as rows.
+    of = lambda name: [F.get(name, at + j) for j in range(WINDOW)]
+    plain = sum(((t >= "\x04").cast("int") for t in of("canon")), F.lit(0))
+    key = F.when(plain >= PLAIN, F.xxhash64(*of("canon"))).otherwise(F.xxhash64(F.lit("words"), *of("words")))
+    return w.select(*keep, "tokens", "canon", "at", key.alias("key"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 13, least_percent: int = 50) -> DataFrame:
@@ -48,13 +59,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     the item in matching windows of one diagonal), n_item, first_word (of the match in the document), n_slots,
     n_changed (slots with another value), verbatim.
 
-    A match needs ``least_words`` words or ``least_percent`` of the item, and slots that agree. Items of fewer words
+    A match needs ``least_words`` words or ``least_percent`` of the item, and slots that agree. Windows with fewer than
+    PLAIN words that aren't placeholders match word for word only. Items of fewer words
     than a window, NULL or empty texts and an empty table on either side match nothing; NULL ids are reported as NULL;
     repeated rows are each reported; repeated items once by item_id."""
     b = benchmark.select(F.col(item_col).alias("item_id"), tokens_of(F.col(item_text_col)).alias("tokens"))
     w = _windows(b, ["item_id"])
-    plain = F.size(F.filter(F.slice("canon", F.col("at") + 1, WINDOW), lambda t: t >= "\x04"))
-    items = w.filter(plain >= PLAIN).select("key", "item_id", F.col("at").alias("item_at"), F.size("tokens").alias("n_item"), F.slice("tokens", F.col("at") + 1, WINDOW).alias("item_words"))
+    items = w.select("key", "item_id", F.col("at").alias("item_at"), F.size("tokens").alias("n_item"), F.slice("tokens", F.col("at") + 1, WINDOW).alias("item_words"))
     items = items.distinct()
     if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
