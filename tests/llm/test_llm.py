@@ -12,11 +12,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import decontam, license_scan, lm, packing, pii, quality, rollup, substring, token_files
-from driftloom.llm._base import new_folder
+from driftloom.llm import decontam, jaccard, license_scan, lm, packing, pii, quality, rollup, substring, token_files
+from driftloom.llm._base import NO_ID, new_folder
 from driftloom.llm._graph import components
 from driftloom.llm._tokens import Encoder
-from driftloom.llm.jaccard import RTree, counts, jaccard_join, shingles, survive
+from driftloom.llm.jaccard import GROUPS, RTree, counts, fold, jaccard_join, pack_point, reaches, shingles, survive, unpack_points
 
 BYTE, WORD = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, component string"
@@ -84,27 +84,14 @@ def test_factors_are_greedy():
 
 
 def test_jaccard_against_brute_force(spark, docs, empty):
-    rows = [(r.doc_id if r.doc_id is not None else -(2**63), r.text) for r in docs.collect()]
-    sets = [(i, {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if (w := re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()) else set()) for i, t in rows]
-    up = {i: i for i, _ in sets}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                x, y = sorted((root(i), root(j)))
-                up[y] = x
-    got = jaccard_join(docs).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        i = r.doc_id if r.doc_id is not None else -(2**63)
-        assert (r.component_id if r.component_id is not None else -(2**63)) == root(i)
-        assert r.n_shingles in {len(s) for j, s in sets if j == i}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert found(docs) == by_brute_force(rows)
+    first = Counter((r.component_id, r.n_shingles > 0, r["first"]) for r in jaccard_join(docs, with_first=True).collect())
+    assert all(n == 1 for (_, some, f), n in first.items() if some and f)
     assert jaccard_join(empty).count() == 0
+    # Rows that share an id but no text are documents of their own.
+    twice = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (0, "a b c d e f g")]
+    assert found(spark.createDataFrame(twice, "doc_id long, text string")) == Counter({(1, 3, 0): 1, (1, 3, 1): 1, (2, 3, 1): 1, (0, 3, 0): 1})
 
 
 def test_jaccard_in_large_blocks(spark):
@@ -124,15 +111,64 @@ def test_bound_never_falls_below_the_overlap():
     rng = np.random.default_rng(5)
     pool = [shingles(" ".join(words(s, 150)).encode(), 5) for s in range(3)]
     sets = [np.unique(np.concatenate([rng.choice(p, int(rng.integers(20, 140)), replace=False) for p in pool])) for _ in range(60)]
-    pts, n = np.stack([counts(s).astype(np.int32) for s in sets]), np.array([len(s) for s in sets])
-    tree = RTree(pts, n, np.arange(len(sets)))
+    sets.append(np.unique(rng.integers(0, 2**63, 400_000).astype(np.uint64)))
+    pts, n = unpack_points([pack_point(counts(s)) for s in sets], GROUPS), np.array([len(s) for s in sets])
+    tree, everyone = RTree(pts, n), np.ones(len(sets), bool)
     for i, s in enumerate(sets):
-        hits = set(tree.search(pts[i], int(n[i]), -1, 80).tolist())
+        hits = set(tree.search(pts[i], int(n[i]), everyone, 80).tolist())
         for j, o in enumerate(sets):
             same = len(np.intersect1d(s, o))
-            assert np.minimum(pts[i], pts[j]).sum() >= same
+            assert np.minimum(pts[i], pts[j]).sum() >= same and np.minimum(fold(pts[i]), fold(pts[j])).sum() >= same
             if 100 * same >= 80 * (len(s) + len(o) - same):
                 assert j in hits and survive(pts[i], pts[j], n[i], n[j], 80)
+            first = np.flatnonzero(np.isin(s, o))
+            if len(first) and 100 * same >= 80 * (len(s) + len(o) - same):
+                assert reaches(len(s), first[0], len(o), np.searchsorted(o, s[first[0]]), 80)
+
+
+def by_brute_force(rows):
+    """Smallest id of each row's component, rows being documents of their own; a missing id is the smallest."""
+    sets = [(NO_ID if i is None else i, {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if (w := re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()) else set()) for i, t in rows]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:k]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                up[root(k)] = root(j)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return Counter((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
+
+
+def found(df, **how):
+    return Counter((NO_ID if r.doc_id is None else r.doc_id, r.n_shingles, NO_ID if r.component_id is None else r.component_id) for r in jaccard_join(df, **how).collect())
+
+
+def tangle(seed: int, n: int = 150) -> list[tuple]:
+    """Near copies of a few texts, as far from them as the threshold, in all sizes of groups."""
+    rng, out = np.random.default_rng(seed), []
+    bases = [words(seed + 500 + k, 150) for k in range(3)]
+    for k in range(n):
+        w = list(bases[int(rng.choice(3, p=(0.7, 0.2, 0.1)))])
+        for at in rng.integers(0, len(w), int(rng.integers(0, 7))):
+            w[at] = f"x{rng.integers(0, 60)}"
+        out.append((int(rng.integers(0, 3 * n)) if k % 9 else None, " ".join(w[int(rng.integers(0, 9)) :])))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"SMALL": 2, "CLUSTER": 5, "PAIRS_EACH": 0, "QUERIES": 7, "TARGETS": 11}, {"SMALL": 2, "FREQUENT": 2, "QUERIES": 3, "TARGETS": 50}])
+def test_jaccard_whatever_the_sizes(spark, monkeypatch, sizes):
+    """All ways through blocks, clusters and lookups give the components of brute force."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = tangle(len(sizes))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == by_brute_force(rows)
 
 
 def test_components(spark):
