@@ -15,8 +15,9 @@ verified on the whole sets, by clusters of candidates so that each set travels o
 the documents of a larger block that are outside its largest component are looked up in a packed R-tree over the
 points of the block (boxes are coordinate maxima): what the bounds let through between different components is
 verified too. A lookup that finds more than a few pairs for each document gives a spanning forest of them, and its
-block is looked up again with the sets at hand, so no task's result outgrows what it reads. Equal sets are one node
-from the start. No link between different components is lost.
+block is looked up again once these have made larger components; what a few such rounds leave is verified where it is
+found, with the sets at hand. So no task's result outgrows what it reads. Equal sets are one node from the start. No
+link between different components is lost.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ FREQUENT, FREQUENT_MOST = 16, 500_000
 CLUSTER = 1_000
 #: Documents that one task looks up, and among how many.
 QUERIES, TARGETS = 256, 1_000
-#: Pairs for each document that a lookup gives; beyond it, a spanning forest of them.
-PAIRS_EACH = 2
+#: Pairs for each document that a lookup gives; beyond it, a spanning forest of them. Rounds of lookups for these.
+PAIRS_EACH, ROUNDS = 2, 3
 LEAF = 32
 #: log2 of the bits that tell which texts are worth hashing again; more candidates only make it less choosy.
 BLOOM_BITS = 24
@@ -275,10 +276,11 @@ def _chunk(at: Column, size: int) -> Column:
     return F.floor((at - 1) / size)
 
 
-def _across(large: DataFrame, comp: DataFrame, points: DataFrame, t: int, sets: DataFrame | None = None) -> DataFrame:
+def _across(large: DataFrame, comp: DataFrame, points: DataFrame, t: int, sets: DataFrame | None = None, nodes: bool = False) -> DataFrame:
     """(a, b, token): pairs between different components of the large blocks (token, node, n, i) that the bounds let
     through; token only in a row of its own, where a task gave a spanning forest of too many. With ``sets`` the pairs
-    are verified, and those given make the same components as all of them."""
+    are verified, and those given make the same components as all of them. With ``nodes``, only the nodes of the
+    pairs, as a, and token."""
     own = large.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = own.groupBy("token", "component").agg(F.count("*").alias("size"), F.min("n").alias("least"))
     of = of.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"), F.min("least").alias("least")).filter("kinds > 1")
@@ -306,6 +308,9 @@ def _across(large: DataFrame, comp: DataFrame, points: DataFrame, t: int, sets:
             tree = tree or RTree(unpack_points([raw[x] for x in ts.tolist()], GROUPS), n[ts])
             hit = ts[tree.search(unpack_points([raw[qs[q]]], GROUPS)[0], int(n[qs[q]]), ok[q], t)]
             out += [(int(qs[q]), x) for x in hit.tolist()]
+        if nodes:
+            hit = node[np.unique(np.array(out, np.int64).ravel())]
+            return pa.table({"a": pa.array(hit, pa.int64()), "b": pa.nulls(len(hit), pa.int64()), "token": pa.array([key[0].as_py()] * len(hit), pa.int64())})
         up, forest = Union(), []
         check = table.column("set").to_pylist() if verified else None
         over = not verified and len(out) > each * len(node)
@@ -359,18 +364,27 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, threshold: int = 80, id_col: st
 
     links = stage(_verify(pairs, rows, reps, k, threshold), "links")
     comp = stage(components(links), "components")
-    more = stage(_across(large, comp, points, threshold), "pairs")
-    apart = more.filter("token is null").select("a", "b")
-    if not apart.isEmpty():
-        links = stage(links.union(_verify(apart, rows, reps, k, threshold)), "links")
-        comp = stage(components(links), "components")
-    full = more.filter("token is not null").select("token").distinct()
-    if not full.isEmpty():
-        again = stage(large.join(full, "token", "left_semi"), "blocks")
+    for _ in range(ROUNDS):
+        more = stage(_across(large, comp, points, threshold), "pairs")
+        apart = more.filter("token is null").select("a", "b")
+        if apart.isEmpty():
+            break
+        found = stage(_verify(apart, rows, reps, k, threshold), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            comp = stage(components(links), "components")
+        # A block that gave all its pairs is done with.
+        full = more.filter("token is not null").select("token").distinct()
+        if full.isEmpty():
+            break
+        large = stage(large.join(full, "token", "left_semi"), "blocks")
+    else:
+        near = _across(large, comp, points, threshold, nodes=True)
+        again = stage(large.join(near.select("token", F.col("a").alias("node")), ["token", "node"], "left_semi"), "blocks")
         some = reps.join(again.select("node").distinct(), "node")
         sets = stage(_by_node(_sets(rows, some, k), some), "sets")
-        links = stage(links.union(_across(again, comp, points, threshold, sets).select("a", "b")), "links")
-        comp = stage(components(links), "components")
+        found = stage(_across(again, comp, points, threshold, sets).select("a", "b"), "links")
+        comp = stage(components(links.union(found)), "components")
     first = reps.join(comp, "node").groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first"))
     of = reps.join(comp, "node", "left").join(stage(first, "first"), "component", "left").select("digest", F.coalesce("first", F.struct("doc", "node")).alias("first"))
     out = sig.select("doc", "hash", "n", "digest", "row").join(stage(of, "classes"), "digest", "left")

@@ -162,7 +162,7 @@ def tangle(seed: int, n: int = 150) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("sizes", [{"SMALL": 2, "CLUSTER": 5, "PAIRS_EACH": 0, "QUERIES": 7, "TARGETS": 11}, {"SMALL": 2, "FREQUENT": 2, "QUERIES": 3, "TARGETS": 50}])
+@pytest.mark.parametrize("sizes", [{"SMALL": 2, "CLUSTER": 5, "PAIRS_EACH": 0, "ROUNDS": 1, "QUERIES": 7, "TARGETS": 11}, {"SMALL": 2, "FREQUENT": 2, "QUERIES": 3, "TARGETS": 50}])
 def test_jaccard_whatever_the_sizes(spark, monkeypatch, sizes):
     """All ways through blocks, clusters and lookups give the components of brute force."""
     for name, value in sizes.items():
