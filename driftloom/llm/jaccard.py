@@ -44,7 +44,7 @@ CLUSTER = 1_000
 #: Documents that one task looks up, and among how many.
 QUERIES, TARGETS = 256, 1_000
 #: Pairs for each document that a lookup gives; beyond it, a spanning forest of them. Rounds of lookups for these.
-PAIRS_EACH, ROUNDS = 2, 3
+PAIRS_EACH, ROUNDS = 16, 3
 LEAF = 32
 #: log2 of the bits that tell which texts are worth hashing again; more candidates only make it less choosy.
 BLOOM_BITS = 24
