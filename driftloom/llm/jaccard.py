@@ -10,7 +10,8 @@ order of shingles, and the order taken is by hash with the most frequent shingle
 share makes blocks only of those that hold little else. A shingle's place in the order bounds what can still follow,
 so the block of a pair's first common shingle lets it through and most others don't.
 
-Blocks of a few documents give their pairs at once, larger ones first only pairs of neighbours in size. Pairs are
+Blocks of a few documents give their pairs at once, larger ones first only pairs of neighbours in size and of each
+document with the one that has the fewest shingles before the block's. Pairs are
 verified on the whole sets, by clusters of candidates so that each set travels once, and links make components. Then
 the documents of a larger block that are outside its largest component are looked up in a packed R-tree over the
 points of the block (boxes are coordinate maxima): what the bounds let through between different components is
@@ -41,8 +42,8 @@ SMALL = 8
 FREQUENT, FREQUENT_MOST = 16, 500_000
 #: Candidate clusters up to this size are verified in one place, larger ones pair by pair.
 CLUSTER = 1_000
-#: Documents that one task looks up, and among how many.
-QUERIES, TARGETS = 256, 1_000
+#: Documents of a block that one task looks up, and among how many.
+QUERIES, TARGETS = 1_000, 2_000
 #: Pairs for each document that a lookup gives; beyond it, a spanning forest of them. Rounds of lookups for these.
 PAIRS_EACH, ROUNDS = 16, 3
 LEAF = 32
@@ -283,25 +284,31 @@ def _across(large: DataFrame, comp: DataFrame, points: DataFrame, t: int, sets:
     pairs, as a, and token."""
     own = large.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = own.groupBy("token", "component").agg(F.count("*").alias("size"), F.min("n").alias("least"))
-    of = of.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"), F.min("least").alias("least")).filter("kinds > 1")
+    of = of.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.sum("size").alias("members")).filter("kinds > 1")
     # A document whose shingle stands too late for the smallest of the block meets none there.
-    rows = own.join(of.select("token", F.col("top.component").alias("main"), "least"), "token").filter(((100 + t) * (F.col("n") - F.col("i")) >= t * (F.col("n") + F.col("least"))))
+    rows = own.join(of.select("token", F.col("top.component").alias("main"), "least", "members"), "token").filter(((100 + t) * (F.col("n") - F.col("i")) >= t * (F.col("n") + F.col("least"))))
     line = Window.partitionBy("token", F.col("component") != F.col("main")).orderBy("n", "node")
     rows = rows.withColumn("at", F.row_number().over(line)).withColumn("query", F.col("component") != F.col("main"))
-    rows = stage(rows.select("token", "node", "n", "i", "component", "query", _chunk(F.col("at"), TARGETS).alias("t_chunk"), F.when(F.col("query"), _chunk(F.col("at"), QUERIES)).alias("q_chunk")), "mixed")
-    span = lambda c, s: rows.filter(F.col(c).isNotNull()).groupBy("token", *(["query"] if c == "t_chunk" else []), F.col(c)).agg(F.min("n").alias(f"lo_{s}"), F.max("n").alias(f"hi_{s}"))
-    near = (F.lit(100) * F.col("hi_q") >= t * F.col("lo_t")) & (F.lit(100) * F.col("hi_t") >= t * F.col("lo_q"))
-    tasks = stage(span("t_chunk", "t").withColumnRenamed("query", "side").join(span("q_chunk", "q"), "token").filter(near).select("token", "q_chunk", "side", "t_chunk"), "tasks")
-    found = rows.filter("query").drop("query", "t_chunk").join(tasks, ["token", "q_chunk"]).withColumn("asks", F.lit(True))
-    among = rows.drop("q_chunk").withColumnRenamed("query", "side").join(tasks, ["token", "side", "t_chunk"]).withColumn("asks", F.lit(False))
-    full = found.unionByName(among).join(points.select("node", "point"), "node")
+    split = F.col("members") > TARGETS
+    rows = rows.withColumn("t_chunk", F.when(split, _chunk(F.col("at"), TARGETS))).withColumn("q_chunk", F.when(split & F.col("query"), _chunk(F.col("at"), QUERIES)))
+    rows = stage(rows.select("token", "node", "n", "i", "component", "query", "t_chunk", "q_chunk"), "mixed")
+    # A block of moderate size is one task, and each of its rows goes there once.
+    no = F.lit(None).cast("long")
+    whole = rows.filter("t_chunk is null").select("token", no.alias("q_chunk"), F.lit(None).cast("boolean").alias("side"), no.alias("t_chunk"), "node", "n", "i", "component", F.col("query").alias("asks"), F.lit(True).alias("target"))
+    rows = rows.filter("t_chunk is not null")
+    span = lambda by, s: rows.filter(F.col(by[-1]).isNotNull()).groupBy("token", *by).agg(F.min("n").alias(f"lo_{s}"), F.max("n").alias(f"hi_{s}"))
+    near = (100 * F.col("hi_q") >= t * F.col("lo_t")) & (100 * F.col("hi_t") >= t * F.col("lo_q"))
+    tasks = stage(span(["query", "t_chunk"], "t").withColumnRenamed("query", "side").join(span(["q_chunk"], "q"), "token").filter(near).select("token", "q_chunk", "side", "t_chunk"), "tasks")
+    found = rows.filter("query").drop("query", "t_chunk").join(tasks, ["token", "q_chunk"]).withColumn("asks", F.lit(True)).withColumn("target", F.lit(False))
+    among = rows.drop("q_chunk").withColumnRenamed("query", "side").join(tasks, ["token", "side", "t_chunk"]).withColumn("asks", F.lit(False)).withColumn("target", F.lit(True))
+    full = whole.unionByName(found).unionByName(among).join(points.select("node", "point"), "node")
     each, verified = PAIRS_EACH, sets is not None
     if verified:
         full = full.join(sets, "node")
 
     def run(key, table):
-        node, n, i, comp_, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "i", "component", "asks"))
-        qs, ts = np.flatnonzero(asks), np.flatnonzero(~asks)
+        node, n, i, comp_, asks, target = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "i", "component", "asks", "target"))
+        qs, ts = np.flatnonzero(asks), np.flatnonzero(target)
         ok = (comp_[qs][:, None] != comp_[ts]) & (100 * np.minimum(n[qs][:, None], n[ts]) >= t * np.maximum(n[qs][:, None], n[ts])) & reaches(n[qs][:, None], i[qs][:, None], n[ts], i[ts], t)
         raw, out, tree = table.column("point").to_pylist(), [], None
         for q in np.flatnonzero(ok.any(1)).tolist():
@@ -356,7 +363,11 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, threshold: int = 80, id_col: st
     blocks = stage(counted, "blocks")
     line = Window.partitionBy("token").orderBy("n", "node")
     near = blocks.withColumn("next", F.array_compact(F.array(*(F.when((F.col("size") <= SMALL) | F.lit(j <= 2), F.lead(F.struct("node", "n", "i"), j).over(line)) for j in range(1, SMALL)))))
-    met = near.select("node", "n", "i", F.explode("next").alias("o")).filter((100 * F.col("n") >= threshold * F.col("o.n")) & reaches(F.col("n"), F.col("i"), F.col("o.n"), F.col("o.i"), threshold))
+    met = near.select("size", "node", "n", "i", F.explode("next").alias("o"))
+    # The document of the fewest shingles before this one has the least that others don't have.
+    centre = blocks.filter(f"size > {SMALL}").groupBy("token").agg(F.min(F.struct("i", "node", "n")).alias("o"))
+    met = met.unionByName(blocks.join(centre, "token").select("size", "node", "n", "i", F.struct("o.node", "o.n", "o.i").alias("o")))
+    met = met.filter((100 * F.least("n", "o.n") >= threshold * F.greatest("n", "o.n")) & (F.col("node") != F.col("o.node")) & ((F.col("size") > SMALL) | reaches(F.col("n"), F.col("i"), F.col("o.n"), F.col("o.i"), threshold)))
     pairs = met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     points = ours.select("node", "n", "point")
     pairs = stage(_bounded(pairs, points, threshold), "pairs")
