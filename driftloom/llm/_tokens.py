@@ -41,24 +41,27 @@ class WordCache(dict):
 class Encoder:
     """``encode(text)`` gives ids as little-endian uint32 bytes, the same as the tokenizers library for the whole text.
 
-    ``byte_bpe_50k.json`` keeps white space with the word after it; ``word_bpe_49k.json`` drops it. Strings of
-    special tokens in a text are ordinary text. None is the empty text."""
+    ``byte_bpe_50k.json`` keeps white space with the word after it; ``word_bpe_49k.json`` drops it. A text with the
+    string of an added token, in whatever case, goes to the library as a whole. None is the empty text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         keeps_space = ids("a b") != ids("a  b")
         self.cache = WordCache(self.tokenizer, lowers=ids("AbC") == ids("abc"))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
+        #: A mark that all of these have, which hardly any text has; no normalizer makes it from others.
+        self.mark = next((c for c in "|<>[]{}#@" if all(c in t for t in added)), "")
         self.words = re.compile(r"\s*\S+|\s+").findall if keeps_space else str.split
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)):
+        if any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)) or (self.added and self.mark in text and self.added(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.cache.__getitem__, self.words(text)))
 

@@ -54,30 +54,36 @@ def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
     return w.select(*keep, "tokens", "canon", "at", key.alias("key"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 13, least_percent: int = 50) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 13, least_percent: int = 50, with_hash: bool = False) -> DataFrame:
     """Contaminated documents: a row for each row of ``docs`` and item that match: doc_id, item_id, n_matched (words of
     the item in matching windows of one diagonal), n_item, first_word (of the match in the document), n_slots,
-    n_changed (slots with another value), verbatim.
+    n_changed (slots with another value), verbatim; with ``with_hash`` also text_hash, xxhash64 of the text's bytes.
 
     A match needs ``least_words`` words or ``least_percent`` of the item, and slots that agree. Windows with fewer than
     PLAIN words that aren't placeholders match word for word only. Items of fewer words
     than a window, NULL or empty texts and an empty table on either side match nothing; NULL ids are reported as NULL;
-    repeated rows are each reported; repeated items once by item_id."""
+    repeated rows are each reported; repeated items once by item_id. Of several places of an item in a text, the one
+    of most matched words is reported; of equal ones, that of fewest changed slots, then the earliest. Texts are taken
+    whole; other columns are left alone."""
     b = benchmark.select(F.col(item_col).alias("item_id"), tokens_of(F.col(item_text_col)).alias("tokens"))
     w = _windows(b, ["item_id"])
     items = w.select("key", "item_id", F.col("at").alias("item_at"), F.size("tokens").alias("n_item"), F.slice("tokens", F.col("at") + 1, WINDOW).alias("item_words"))
     items = items.distinct()
-    if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), tokens_of(F.col(text_col)).alias("tokens"))
-    hit = _windows(d, ["row", "doc_id"]).join(items, "key")
-    slots = F.filter(F.zip_with("item_words", F.slice("tokens", F.col("at") + 1, WINDOW), lambda x, y: F.struct(x.alias("item"), y.alias("doc"))), lambda p: p["item"] < "\x04")
-    hit = hit.select("row", "doc_id", "item_id", "n_item", "item_at", "at", (F.col("at") - F.col("item_at")).alias("diagonal"), slots.alias("slots"))
+    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = ["text_hash"] * with_hash
+    hashed = [F.xxhash64(F.col(text_col).cast("binary")).alias(x) for x in own]
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *hashed, tokens_of(F.col(text_col)).alias("tokens"))
+    # What is shuffled carries the words of its window; what isn't takes them of the text once it has matched.
+    words = F.slice("tokens", F.col("at") + 1, WINDOW) if small else F.array(*(F.get("tokens", F.col("at") + j) for j in range(WINDOW)))
+    w = _windows(d, ["row", "doc_id", *own])
+    hit = w.join(F.broadcast(items), "key").withColumn("doc_words", words) if small else w.select("row", "doc_id", *own, "at", "key", words.alias("doc_words")).join(items, "key")
+    slots = F.filter(F.zip_with("item_words", "doc_words", lambda x, y: F.struct(x.alias("item"), y.alias("doc"))), lambda p: p["item"] < "\x04")
+    hit = hit.select("row", "doc_id", *own, "item_id", "n_item", "item_at", "at", (F.col("at") - F.col("item_at")).alias("diagonal"), slots.alias("slots"))
     words = F.array_distinct(F.flatten(F.transform(F.collect_set("item_at"), lambda t: F.sequence(t, t + (WINDOW - 1)))))
-    by = hit.groupBy("row", "doc_id", "item_id", "n_item", "diagonal").agg(F.size(words).alias("n_matched"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    by = hit.groupBy("row", "doc_id", *own, "item_id", "n_item", "diagonal").agg(F.size(words).alias("n_matched"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     by = by.withColumn("n_slots", F.size(F.array_distinct(F.transform("slots", lambda p: p["item"])))).withColumn("n_changed", F.size(F.filter("slots", lambda p: p["item"] != p["doc"])))
     enough = (F.col("n_matched") >= least_words) | (100 * F.col("n_matched") >= least_percent * F.col("n_item"))
     sound = by.filter(enough & (F.size("slots") == F.col("n_slots")))
-    best = sound.groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("n_changed")).alias("same"), (-F.col("first_word")).alias("early"), "n_item", "n_slots")).alias("x"))
+    best = sound.groupBy("row", "doc_id", *own, "item_id").agg(F.max(F.struct("n_matched", (-F.col("n_changed")).alias("same"), (-F.col("first_word")).alias("early"), "n_item", "n_slots")).alias("x"))
     x = F.col("x")
-    return best.select("doc_id", "item_id", x["n_matched"].cast("long").alias("n_matched"), x["n_item"].cast("long").alias("n_item"), (-x["early"]).cast("long").alias("first_word"), x["n_slots"].cast("long").alias("n_slots"), (-x["same"]).cast("long").alias("n_changed"), (x["same"] == 0).alias("verbatim"))
+    return best.select("doc_id", "item_id", x["n_matched"].cast("long").alias("n_matched"), x["n_item"].cast("long").alias("n_item"), (-x["early"]).cast("long").alias("first_word"), x["n_slots"].cast("long").alias("n_slots"), (-x["same"]).cast("long").alias("n_changed"), (x["same"] == 0).alias("verbatim"), *own)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._base import SPACES, stage
 
@@ -103,56 +104,81 @@ def votes_of(pattern: np.ndarray, n_rules: int = len(RULES)) -> np.ndarray:
     return np.stack([pattern // 3 ** (n_rules - 1 - k) % 3 for k in range(n_rules)], axis=1)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int = len(RULES), *, rounds: int = 200, smooth: float = 1.0, false_alarm: float = 0.001) -> dict:
+def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int = len(RULES), *, rounds: int = 500, smooth: float = 1.0, trust: float = 4.0) -> dict:
     """Expectation-maximisation on vote patterns and their counts.
 
     A document is good (class 0) or bad in the way that one of the rules looks for (class 1 + rule): documents that
     are bad in different ways have hardly a vote in common, and one class of bad would fit only the commonest way.
     Returns posterior (of "good", by pattern), prior (by class) and rates[class, rule, vote], the estimated chances
-    of a vote 0 bad, 1 abstains, 2 good. It begins with the patterns that have a bad vote as bad. Two bounds keep the
-    classes to their meaning: a rule calls a good document bad, or a document with its own fault good, in
-    ``false_alarm`` of the cases at most. Ties of EM's start are broken by nothing but the votes, so the result
-    depends on the counts alone."""
+    of a vote 0 bad, 1 good where the rule doesn't abstain; an abstention says nothing. It begins with soft votes: the
+    sum of a pattern's votes gives the odds of "good", and its rules' votes share out the rest. That rules are right
+    more often than wrong enters as ``trust`` further votes for each (good ones on good documents, bad ones on
+    documents with the rule's own fault), beside ``smooth`` of either kind; the corpus outweighs them. So a rule whose
+    bad votes come with others' good ones is overruled, and several weak bad votes can outweigh good ones. Nothing
+    but the votes breaks ties, so the result depends on the counts alone."""
     patterns, counts = np.asarray(patterns, np.int64), np.asarray(counts, float)
+    rules = np.arange(n_rules)
+    base = np.full((1 + n_rules, n_rules, 2), smooth)
+    base[0, :, 1] += trust
+    base[1 + rules, rules, 0] += trust
     if not len(patterns):
-        return {"posterior": np.empty(0), "prior": np.full(1 + n_rules, 1 / (1 + n_rules)), "rates": np.full((1 + n_rules, n_rules, 3), 1 / 3)}
+        return {"posterior": np.empty(0), "prior": np.full(1 + n_rules, 1 / (1 + n_rules)), "rates": base / base.sum(2, keepdims=True)}
     votes = votes_of(patterns, n_rules)
-    bad = votes == 0
-    any_bad = bad.any(1)
-    p = np.empty((len(patterns), 1 + n_rules))
-    p[:, 0] = np.where(any_bad, 0.05, 0.95)
-    p[:, 1:] = np.where(any_bad[:, None], 0.95 * bad / np.maximum(1, bad.sum(1, keepdims=True)), 0.05 / n_rules)
-    rules = np.arange(n_rules)
-    hot = np.eye(3)[votes]
-    rates, prior = np.zeros((1 + n_rules, n_rules, 3)), np.zeros(1 + n_rules)
+    hot = np.stack([votes == 0, votes == 2], axis=2).astype(float)
+    signed = votes - 1.0
+    good = 1 / (1 + np.exp((signed != 0).sum(1) / 2 - signed.sum(1)))
+    own = np.exp(-signed)
+    p = np.concatenate([good[:, None], (1 - good[:, None]) * own / own.sum(1, keepdims=True)], axis=1)
     for _ in range(rounds):
         weight = p * counts[:, None]
         prior = (weight.sum(0) + smooth) / (weight.sum() + smooth * (1 + n_rules))
-        rates = np.einsum("pc,prv->crv", weight, hot) + smooth
+        rates = np.einsum("pc,prv->crv", weight, hot) + base
         rates /= rates.sum(2, keepdims=True)
-        for at, vote in ((np.zeros(n_rules, int), 0), (1 + rules, 2)):
-            over = np.minimum(rates[at, rules, vote], false_alarm)
-            rest = rates[at, rules].sum(1) - rates[at, rules, vote]
-            rates[at, rules] *= ((1 - over) / rest)[:, None]
-            rates[at, rules, vote] = over
         log = np.log(prior) + np.einsum("prv,crv->pc", hot, np.log(rates))
         new = np.exp(log - log.max(1, keepdims=True))
         new /= new.sum(1, keepdims=True)
-        done = np.abs(new - p).max() < 1e-9
+        done = np.abs(new - p).max() < 1e-6
         p = new
         if done:
             break
     return {"posterior": p[:, 0], "prior": prior, "rates": rates}
 
 
+def _model(seen: DataFrame) -> list[tuple[int, float]]:
+    """(pattern, posterior) from a table (pattern, count) of 3 ** rules rows at most."""
+    rows = sorted((r["pattern"], r["count"]) for r in seen.collect())
+    model = fit(np.array([p for p, _ in rows], np.int64), np.array([c for _, c in rows], float))
+    return [(p, float(x)) for (p, _), x in zip(rows, model["posterior"], strict=True)]
+
+
+def keep_good(docs: DataFrame, *, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with all their columns, whatever their names.
+
+    Rows carry their votes while the counts are taken, so no verdict has to find its row again: rows of a NULL or
+    repeated id each have their own."""
+    mark = "votes"
+    while mark in docs.columns:
+        mark += "_"
+
+    def run(batches):
+        for b in batches:
+            found = [measure(x) for x in b.column(text_col).to_pylist()]
+            yield b.append_column(mark, pa.array([2 * pattern_of(v) + f["base_failed"] for f, v in found], pa.int32()))
+
+    held = stage(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.IntegerType())])), "quality")
+    seen = held.groupBy(F.shiftright(mark, 1).alias("pattern")).count()
+    good = [(2 * p,) for p, x in _model(seen) if x >= keep_at]
+    return held.join(F.broadcast(docs.sparkSession.createDataFrame(good, f"{mark} int")), mark, "left_semi").select(*docs.columns)
+
+
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
     """Features, posterior and verdict of each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, posterior.
 
     Features are measured once and staged; the pattern counts that go to the driver are 3 ** rules rows at most,
     whatever the corpus, and so is the table that is joined back by broadcast. NULL or empty text has no words, so
-    its base fails; a NULL doc_id or one that repeats gives a row of its own; an empty table gives no rows; other
-    columns are left alone."""
+    its base fails; texts are taken whole; a NULL doc_id or one that repeats gives a row of its own; a posterior of just
+    ``keep_at`` keeps; an empty table gives no rows; other columns are left alone."""
 
     def run(batches):
         for b in batches:
@@ -164,8 +190,6 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     measured = stage(rows.mapInArrow(run, f"doc_id long, {_SCHEMA}"), "quality")
-    seen = sorted((r["pattern"], r["count"]) for r in measured.groupBy("pattern").count().collect())
-    model = fit(np.array([p for p, _ in seen], np.int64), np.array([c for _, c in seen], float))
-    table = docs.sparkSession.createDataFrame([(p, float(x)) for (p, _), x in zip(seen, model["posterior"], strict=True)], "pattern int, posterior double")
+    table = docs.sparkSession.createDataFrame(_model(measured.groupBy("pattern").count()), "pattern int, posterior double")
     out = measured.join(F.broadcast(table), "pattern", "left")
     return out.select("doc_id", *_FEATURES, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= keep_at)).alias("kept"), "posterior")

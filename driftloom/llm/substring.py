@@ -3,7 +3,10 @@
 A document is factored against every earlier text of the corpus. The reference is an index of the windows of
 ``window`` words at their earliest place, cut into blocks: a window belongs to the block of its anchor, the least
 5-word hash in it, so equal windows always meet in one block and neighbouring windows mostly share a block and
-travel as one row. Windows of one anchor are told apart by 64-bit hashes of their words. A window found earlier
+travel as one row; an anchor of very many places is left out, and each of its windows is a block of its own. Anchors
+are counted first, and windows of an anchor that occurs once aren't sent at all. Windows of one anchor are told apart
+by 64-bit hashes of their words: by chance, n different windows of one anchor hold n * n / 2 ** 65 pairs taken for
+equal. A window found earlier
 elsewhere is the seed of a factor; seeds in a row that keep the same distance to their source are one factor. The
 document is then parsed greedily, at each word taking the factor that reaches furthest; as each factor is checked from
 the start of its match and not from the last factor's end, no match of ``window`` words is lost at a boundary.
@@ -22,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import id_back, id_key
+from ._base import id_back, id_key, stage
 from ._words import mix, rolling, word_hashes
 
 SEED = 5
+#: Places of an anchor beyond which its windows are dealt one by one, so that none has many in its task.
+OFTEN = 1_000
+#: log2 of the bits that tell which anchors occur again, at most.
+MOST_BITS = 27
 #: Words that a task looks at together.
 BLOCK_WORDS = 600_000
 _ROW = "key long, doc long, start int, data binary"
@@ -41,9 +48,9 @@ def _runs(doc: np.ndarray, pos: np.ndarray, src_doc: np.ndarray, src_pos: np.nda
     return np.flatnonzero(new)
 
 
-def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch | None:
-    """Rows to be dealt by anchor: windows not seen in these documents before (data: 64-bit hashes), and, with a
-    start below 0, factors found among them (data: windows, source, its start)."""
+def _anchored(docs: list[tuple[int, list[bytes]]], window: int):
+    """Of all windows of the documents: their starts and anchors among the documents' words in a row, and the hash of
+    each seed of SEED words; with the words' hashes and each document's size and place. None if there is no window."""
     docs.sort(key=lambda d: d[0])
     sizes = np.array([len(w) for _, w in docs])
     if not len(sizes) or sizes.max() < window:
@@ -52,8 +59,23 @@ def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch |
     at = np.cumsum(sizes) - sizes
     starts = np.concatenate([np.arange(a, a + n - window + 1) for a, n in zip(at, sizes, strict=True) if n >= window])
     seeds = rolling(hashes, SEED)
-    span = window - SEED + 1
-    anchor = starts + np.lib.stride_tricks.sliding_window_view(seeds, span)[starts].argmin(1)
+    anchor = starts + np.lib.stride_tricks.sliding_window_view(seeds, window - SEED + 1)[starts].argmin(1)
+    return hashes, sizes, at, starts, seeds, anchor
+
+
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    top = np.uint64(64 - (len(bits) * 32).bit_length() + 1)
+    x, y = keys >> top, mix(keys) >> top
+    return ((bits[x >> np.uint64(5)] >> (x & np.uint64(31)).astype(np.uint32)) & (bits[y >> np.uint64(5)] >> (y & np.uint64(31)).astype(np.uint32)) & 1).astype(bool)
+
+
+def _index(docs: list[tuple[int, list[bytes]]], window: int, again: np.ndarray | None = None, often: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Rows to be dealt by key: windows not seen in these documents before (data: 64-bit hashes), and, with a start
+    below 0, factors found among them (data: windows, source, its start). The key is a window's anchor, or where the
+    anchor is among the bits ``often`` the window itself; windows of anchors that aren't among ``again`` stay away."""
+    if (found := _anchored(docs, window)) is None:
+        return None
+    hashes, sizes, at, starts, seeds, anchor = found
     whole = rolling(hashes, window)[starts]
     of = np.repeat(np.arange(len(docs)), np.maximum(0, sizes - window + 1))
     doc, pos = np.array([d for d, _ in docs], np.int64)[of], (starts - at[of]).astype(np.int64)
@@ -69,9 +91,14 @@ def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch |
     spans = [_SPAN.pack(*x) for x in zip(n.tolist(), doc[first[o]].tolist(), pos[first[o]].tolist(), strict=True)]
     span_key = mix(doc[o].view(np.uint64) ^ mix(pos[o].view(np.uint64) + np.uint64(1)))
 
+    key = seeds[anchor]
+    if again is not None:
+        new &= _held(again, key)
+    if often is not None:
+        key = np.where(_held(often, key), mix(whole), key)
     i = np.flatnonzero(new)
     cut = np.ones(len(i), bool)
-    cut[1:] = (np.diff(i) != 1) | (anchor[i][1:] != anchor[i][:-1]) | (of[i][1:] != of[i][:-1])
+    cut[1:] = (np.diff(i) != 1) | (key[i][1:] != key[i][:-1]) | (of[i][1:] != of[i][:-1])
     c = np.flatnonzero(cut)
     raw = whole[i].astype("<u8").tobytes()
     ends = 8 * np.append(c[1:], len(i))
@@ -79,7 +106,7 @@ def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch |
     i = i[c]
     return pa.RecordBatch.from_pydict(
         {
-            "key": pa.array(np.concatenate([seeds[anchor[i]], span_key]).view(np.int64)),
+            "key": pa.array(np.concatenate([key[i], span_key]).view(np.int64)),
             "doc": pa.array(np.concatenate([doc[i], doc[o]])),
             "start": pa.array(np.concatenate([pos[i], -1 - pos[o]]).astype(np.int32)),
             "data": pa.array(data + spans, pa.binary()),
@@ -87,6 +114,18 @@ def _index(docs: list[tuple[int, list[bytes]]], window: int) -> pa.RecordBatch |
     )
 
 
+def _bits(keys: DataFrame) -> np.ndarray:
+    """Two bits for each key (long), about 16 times as many in all, gathered as words of 32; beyond MOST_BITS their
+    number stays, and they only tell less keys apart."""
+    size = min(MOST_BITS, max(10, (16 * keys.count()).bit_length()))
+    # The same bits as those of _held: the top ones of the key and of its mix.
+    top = keys.select("key").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate([k, mix(k)]) >> np.uint64(64 - size), pa.uint64()).cast(pa.int64())}) for b in batches for k in [b.column(0).to_numpy().view(np.uint64)]), "x long")
+    words = top.groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 31 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (size - 5), np.uint32)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    return out
+
+
 def _seek(batches):
     """Over rows sorted by key, doc and start: the factors of what isn't the first of its kind. Holds a batch and
     the distinct windows of one key."""
@@ -167,7 +206,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
     and text are one document and give equal rows; rows that repeat a doc_id with another text share the parse of
     their positions, so give such rows ids of their own. An empty table gives no rows."""
 
-    def index(batches):
+    def blocks(batches):
         held: list[tuple[int, list[bytes]]] = []
         n = 0
         for b in batches:
@@ -176,11 +215,21 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
                 held.append((doc, words))
                 n += len(words)
                 if n >= BLOCK_WORDS:
-                    if (out := _index(held, window)) is not None:
-                        yield out
+                    yield held
                     held, n = [], 0
-        if held and (out := _index(held, window)) is not None:
-            yield out
+        yield held
+
+    def count(batches):
+        for held in blocks(batches):
+            if (found := _anchored(held, window)) is not None:
+                key, n = np.unique(found[4][np.unique(found[5])], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    def index(batches):
+        again, often = bits.value
+        for held in blocks(batches):
+            if (out := _index(held, window, again, often)) is not None:
+                yield out
 
     def cut(batches):
         for b in batches:
@@ -200,6 +249,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names[: 5 + with_text])
 
     rows = docs.select(id_key(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    counts = stage(rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    bits = docs.sparkSession.sparkContext.broadcast((_bits(counts), _bits(counts.filter(F.col("n") > OFTEN))))
     dealt = rows.mapInArrow(index, _ROW).repartition("key").sortWithinPartitions("key", "doc", "start")
     found = dealt.mapInArrow(_seek, "doc long, start int, n int, src_doc long, src_start int")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("found"))

@@ -68,8 +68,10 @@ def test_substring_against_brute_force(spark, docs, empty, monkeypatch):
 
     rows = [(r.doc_id, r.text if r.doc_id != 14 else r.text) for r in docs.collect()]
     want = {r[0]: r[1:] for r in brute(rows) if r[0] != 14}
-    for size in (600_000, 500):  # all at once, and dealt between blocks
+    # All at once, dealt between blocks, and each window of a repeated anchor by itself.
+    for size, often in ((600_000, 1_000), (500, 1_000), (500, 1)):
         monkeypatch.setattr(substring, "BLOCK_WORDS", size)
+        monkeypatch.setattr(substring, "OFTEN", often)
         got = substring.substring_dedup(docs, with_text=True).collect()
         assert len(got) == len(rows)
         assert all(want[r.doc_id] == (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got if r.doc_id != 14)
@@ -78,6 +80,17 @@ def test_substring_against_brute_force(spark, docs, empty, monkeypatch):
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_no_false_factors_under_one_anchor():
+    """Texts that share a short passage, and hence an anchor, but no window."""
+    texts = [[b"l%d" % k, b"a", b"b", b"c", b"d", b"e", *(b"%d" % (k * 14 + j) for j in range(14))] for k in range(300_000)]
+    batches = [substring._index([(k, t) for k, t in enumerate(texts[a : a + 30_000], a)], 20) for a in range(0, len(texts), 30_000)]
+    rows = pa.Table.from_batches(batches).sort_by([("key", "ascending"), ("doc", "ascending"), ("start", "ascending")])
+    assert not any(b.num_rows for b in substring._seek(rows.to_batches(max_chunksize=50_000)))
+    twin = substring._index([(300_000, texts[7])], 20)
+    rows = pa.Table.from_batches([*batches, twin]).sort_by([("key", "ascending"), ("doc", "ascending"), ("start", "ascending")])
+    assert [tuple(r.values()) for b in substring._seek(rows.to_batches(max_chunksize=50_000)) for r in b.to_pylist()] == [(300_000, 0, 1, 7, 0)]
+
+
 def test_factors_are_greedy():
     assert substring.parse([(0, 5, 1, 10), (3, 30, 2, 0), (5, 1, 1, 15)], 20) == [(0, 25, 1, 10), (25, 52, 2, 22)]
     assert substring.parse([], 20) == []
@@ -180,10 +193,15 @@ def test_components(spark):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_cached_tokens_are_the_librarys(path):
-    e = Encoder(path)
-    texts = [t for _, t, *_ in corpus() if t and len(t) < 5000] + ["a.b. C,d ÀÉ. l'œ. Don'T. é!! İstanbul, ΣΑΣ. x  y\n\n z. <|endoftext|>, ǅ. ß. STRASSE 12.5%  q\x1c r", " lead", "trail ", "\n", "é É."]
-    for t in texts * 2:
-        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    e, fresh = Encoder(path), Tokenizer.from_file(path)
+    texts = [t for _, t, *_ in corpus() if t and len(t) < 5000] + ["a.b. C,d ÀÉ. l'œ. Don'T. é!! İstanbul, ΣΑΣ. x y\n\n z. <|endoftext|>, ǅ. ß. STRASSE 12.5%  q\x1c r", " lead", "trail ", "\n", "é É.", "a<|EndOfText|>b", "<|endoftext|>", "<|startoftext|> x<|endoftext|> y", "a <|endoftext|> b", "<|endoftext| >"]
+    rng = np.random.default_rng(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t", " ", "a", "Wort", "don't", "'S", "12", ".", "...", "é", "é", "ſ", "中文", "🙂", "_", "<|", "|>"]
+    texts += ["".join(rng.choice(parts, int(rng.integers(1, 12))).tolist()) for _ in range(3000)]
+    for t in texts:
+        assert e.encode(t) == np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
     assert e.encode(None) == e.encode("") == b""
 
 
@@ -268,6 +286,39 @@ def test_quality_features():
     assert quality.measure(None)[0]["base_failed"] and quality.measure("x\ny\nx\nx")[0]["n_dup_lines"] == 2
 
 
+def test_quality_features_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    parts = ["a", "b", "é", "#", "|x", "\n", " ", "\t", "\x0b", " ", "<>", "word"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 160))).tolist()) for _ in range(150)] + [None, "", "a " * 40, "a b " * 3_000, "x" * 100_000]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, pattern int")).collect()}
+    for k, t in enumerate(texts):
+        w = re.findall("[^\\x20\\x09-\\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search("[^\\x20\\x09-\\x0D]", x)]
+        grams = Counter(zip(w, w[1:], w[2:]))
+        cover = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), failed)
+        assert not (failed and r.kept)
+
+
+def test_quality_votes_can_be_overruled(spark):
+    """A rule whose bad votes come with good ones of all others loses; two weak bad votes that come together win."""
+    code = lambda *v: sum((x + 1) * 3 ** (4 - k) for k, x in enumerate(v))
+    seen = {code(1, 1, 1, 1, 1): 9000, code(-1, 1, 1, 1, 1): 90, code(1, -1, -1, 0, 1): 400, code(1, -1, 1, 1, 1): 8, code(1, 1, -1, 1, 1): 8, code(0, 0, 0, 0, 0): 5, code(1, -1, -1, 1, 1): 300}
+    post = dict(zip(seen, quality.fit(np.array(list(seen)), np.array(list(seen.values())), 5)["posterior"].tolist(), strict=True))
+    assert post[code(1, 1, 1, 1, 1)] > 0.99 and post[code(-1, 1, 1, 1, 1)] > 0.5 and post[code(0, 0, 0, 0, 0)] > 0.5
+    assert post[code(1, -1, -1, 0, 1)] < 0.1 and post[code(1, -1, -1, 1, 1)] < 0.1
+
+
+def test_quality_rows_keep_their_own_verdict(spark):
+    good = " ".join(f"{w} the of" for w in words(5, 40)) + ". It was so. And it is."
+    rows = [(1, good, 7), (1, "spam " * 200, 8), (None, good, 9), (None, None, 10), (2, "", 11)]
+    kept = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, votes int"))
+    assert kept.columns == ["doc_id", "text", "votes"] and sorted(r.votes for r in kept.collect()) == [7, 9]
+    assert quality.keep_good(kept.filter("false")).count() == 0
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark, docs, empty):
     small = ("the", "of", "and", "in", "that", "is", "by", "with")
     rows = [(k, " ".join(" ".join(x for i, w in enumerate(words(k * 50 + j, 9)) for x in ((w, small[(i * j + k) % 8]) if i % 3 == 0 else (w,))).capitalize() + "." for j in range(8))) for k in range(120)]
