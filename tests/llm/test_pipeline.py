@@ -58,4 +58,5 @@ def test_rows_that_share_an_id(spark, tables):
     for (_, f), want in zip(corpus_pipeline.STAGES[:4], [{0, 2, 3, 5, 6, 7, 8, 9}, {0, 2, 3, 9}, {0, 3, 9}, {0, 3, 9}], strict=True):
         docs = f(spark, docs, tables).cache()
         # Of rows equal in id and text, either may stay.
-        assert docs.columns == ["doc_id", "text", "row_id", "row_text", "n_chars"] and {3 if r.row_id == 6 and want != {0, 2, 3, 5, 6, 7, 8, 9} else r.row_id for r in docs.collect()} in (want, want ^ {2, 5})
+        got = {r.row_id for r in docs.collect()}
+        assert docs.columns == ["doc_id", "text", "row_id", "row_text", "n_chars"] and (got if 3 in got else got - {6} | {3}) == want
