@@ -1,8 +1,10 @@
 """Corpus pipeline: quality rules, near duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before it kept, and returns a
-DataFrame; all but the last return the columns of ``documents``. Ids that are NULL are one id; exact repetitions of a
-row are dropped with the near duplicates.
+DataFrame; all but the last return the columns of ``documents``. Verdicts go with the row or are joined by id and hash
+of the text, so rows that share an id, or have none, each get their own; rows equal in both are one document, of which
+the stage of near duplicates keeps one. NULL and empty texts fail the quality rules; texts of any length are taken
+whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,32 +18,35 @@ from driftloom.llm.decontam import decontaminate
 from driftloom.llm.jaccard import jaccard_join
 from driftloom.llm.packing import pack
 from driftloom.llm.pii import redact
-from driftloom.llm.quality import quality_rules
+from driftloom.llm.quality import keep_good
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose id is (left_semi) or isn't (left_anti) among ``ids``; by merge at every size, as the ids
-    grow with the documents."""
-    wanted = ids.select(id_key("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", id_key("doc_id")).join(wanted.hint("merge"), "__id", how)
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are (left_semi) or aren't (left_anti) among ``rows`` (doc_id, text_hash), once each; by
+    merge at every size, as the rows grow with the documents."""
+    key, text = "row_id", "row_text"
+    while {key, text} & set(docs.columns):
+        key, text = key + "_", text + "_"
+    wanted = rows.select(id_key("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    marked = docs.withColumn(key, id_key("doc_id")).withColumn(text, F.xxhash64(F.col("text").cast("binary")))
+    return marked.join(wanted.hint("merge"), [key, text], how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _by_id(docs, quality_rules(docs).filter("kept"), "left_semi").select(*docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates."""
-    first = jaccard_join(docs).filter("doc_id <=> component_id")
-    kept = _by_id(docs, first, "left_semi").withColumn("__text", F.xxhash64("text"))
-    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    kept = _by_row(docs, jaccard_join(docs, with_first=True).filter("first"), "left_semi")
+    return kept.dropDuplicates([c for c in kept.columns if c not in docs.columns]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text of the benchmark."""
-    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    return _by_id(docs, found, "left_anti").select(*docs.columns)
+    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"), with_hash=True)
+    return _by_row(docs, found, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
