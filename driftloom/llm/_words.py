@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker keeps hashed.
-CACHED = 400_000
+CACHED = 150_000
 
 
 class _Hashes(dict):

@@ -126,7 +126,7 @@ def _prefix(s: np.ndarray, t: int, frequent: np.ndarray | None = None) -> np.nda
         last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         if last.any():
             s = np.concatenate([s[~last], s[last]])
-    return s[:n]
+    return s[:n].copy()  # not a view, which would hold the whole set
 
 
 def _frequent(docs: DataFrame, k: int, t: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def _frequent(docs: DataFrame, k: int, t: int) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            held = [_prefix(shingles(text, k), t) for text in b.column(0).to_pylist()]
+            held = [_prefix(shingles(text.as_py(), k), t) for text in b.column(0)]
             token, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
             for at in range(0, len(token), 100_000):
                 yield pa.RecordBatch.from_pydict({"token": token[at : at + 100_000].view(np.int64), "n": n[at : at + 100_000].astype(np.int64)})
@@ -152,7 +152,7 @@ def _signatures(docs: DataFrame, k: int, t: int) -> DataFrame:
     last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, t))
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
             n, digest, point, prefix = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, k)
