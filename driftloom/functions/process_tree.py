@@ -102,7 +102,7 @@ def render(tree) -> str:
 
 def from_dfg(rows) -> str:
     """Text of the tree of a graph's rows (kind, activity_from, activity_to, frequency)."""
-    edges = {(r[1], r[2]) for r in rows if r[0] == "edge" and not r[1].startswith("unknown_") and not r[2].startswith("unknown_")}
+    edges = {(r[1], r[2]) for r in rows if r[0] == "edge" and not {r[1], r[2]} & {"unknown_previous_activities", "unknown_following_activities"}}
     starts, ends = {r[2] for r in rows if r[0] == "start"}, {r[1] for r in rows if r[0] == "end"}
     return render(discover(edges, starts, ends))
 

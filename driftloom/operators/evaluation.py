@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .windows import WindowSpec
+
 
 def drift_metrics(detected: list[int], real: list[int], window: int) -> dict:
     """Greedy matching: a detection finds the first unfound truth at most two windows before it."""
@@ -36,6 +38,45 @@ def margin_metrics(real: list[int], detected: list[int], margin: float) -> dict:
     return {"precision": p, "recall": r, "f1": round(2 * p * r / (p + r), 2) if hits else 0.0, "meantime": sum(min(abs(d - t) for t in truth) for d in found) / len(found)}
 
 
+def drift_metrics_of(df: DataFrame, detected: str, real: str, window: int) -> DataFrame:
+    """``drift_metrics`` of each row's two arrays, as columns Precision, Recall, F1, Delay; in SQL, so a table of many
+    configurations stays where it is. NULL arrays are empty."""
+    none = F.array().cast("array<long>")
+    found, truth = (F.array_sort(F.coalesce(F.col(c).cast("array<long>"), none)) for c in (detected, real))
+    df = df.withColumn("__d", found).withColumn("__r", truth)
+    places = F.when(F.size("__r") > 0, F.sequence(F.lit(0), F.size("__r") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(s, d):
+        hit = F.get(F.filter(places, lambda k: ~F.array_contains(s["found"], k) & (d - F.get("__r", k)).between(0, 2 * window)), F.lit(0))
+        return F.struct(F.when(hit.isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(hit))).alias("found"), (s["delay"] + F.coalesce(d - F.get("__r", hit), F.lit(0))).alias("delay"))
+
+    s = F.aggregate("__d", F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).cast("long").alias("delay")), step)
+    df = df.withColumn("__s", s)
+    hits, n, m = F.size("__s.found"), F.size("__d"), F.size("__r")
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = ratio(hits, n), ratio(hits, m)
+    return df.withColumn("Precision", p).withColumn("Recall", r).withColumn("F1", ratio(2 * p * r, p + r)).withColumn("Delay", F.when(hits > 0, F.col("__s.delay") / hits)).drop("__d", "__r", "__s")
+
+
+def margin_metrics_of(df: DataFrame, real: str, detected: str, margin: float) -> DataFrame:
+    """``margin_metrics`` of each row's two arrays, as columns precision, recall, f1, meantime (NULL without any)."""
+    none = F.array().cast("array<long>")
+    inner = lambda c: F.slice(F.coalesce(F.col(c).cast("array<long>"), none), F.lit(1), F.greatest(F.size(F.coalesce(F.col(c), none)) - 1, F.lit(0)))
+    df = df.withColumn("__t", inner(real)).withColumn("__f", inner(detected))
+
+    def step(s, t):
+        near = F.filter("__f", lambda d: ~F.array_contains(s["used"], d) & (F.abs(d - t) < margin))
+        hit = F.array_min(F.transform(near, lambda d: F.struct(F.abs(d - t).alias("far"), d.alias("d"))))["d"]
+        return F.struct(F.when(hit.isNull(), s["used"]).otherwise(F.concat(s["used"], F.array(hit))).alias("used"))
+
+    df = df.withColumn("__s", F.aggregate("__t", F.struct(none.alias("used")), step))
+    hits, n, m = F.size("__s.used"), F.size("__f"), F.size("__t")
+    some = (n > 0) & (m > 0)
+    p, r = F.when(some, hits / n).otherwise(0.0), F.when(some, hits / m).otherwise(0.0)
+    far = F.aggregate(F.transform("__f", lambda d: F.array_min(F.transform("__t", lambda t: F.abs(d - t)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, F.round(2 * p * r / (p + r), 2)).otherwise(0.0)).withColumn("meantime", F.when(some, far / n)).drop("__t", "__f", "__s")
+
+
 def list_match(df: DataFrame, predicted: str, expected: str) -> DataFrame:
     """Adds precision, recall and f1 of two array columns as sets, in lower case."""
     low = lambda c: F.array_distinct(F.transform(c, lambda x: F.lower(x)))
@@ -45,12 +86,14 @@ def list_match(df: DataFrame, predicted: str, expected: str) -> DataFrame:
     return df.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def ground_truth_windows(log: DataFrame, cases: list[str], windows: DataFrame, n_windows: int) -> DataFrame:
-    """truth: the first window that holds each case's first transition (its end included), and the number of windows."""
+def ground_truth_windows(log: DataFrame, cases: list[str], spec: WindowSpec, n: int) -> DataFrame:
+    """truth: the first of the windows over n transitions that holds each case's first one (its end included), found by
+    arithmetic, and the number of windows. A transition in a gap or after the last window has none."""
     first = log.filter(F.col("case_id").isin(cases)).groupBy("case_id").agg(F.min("transition_id").alias("t"))
-    hit = first.join(F.broadcast(windows), (F.col("start") <= F.col("t")) & (F.col("t") <= F.col("end")))
-    found = hit.groupBy("case_id").agg(F.min("window_index").alias("truth")).select("truth")
-    return found.union(log.sparkSession.range(1).select(F.lit(n_windows).cast("long").alias("truth")))
+    truth = F.greatest(F.lit(0), F.ceil((F.col("t") - spec.size) / F.lit(spec.stride))).cast("long")
+    windows = max(0, spec.last(n) + 1) if n >= spec.size else 0
+    found = first.withColumn("truth", truth).filter((F.col("truth") < windows) & (F.col("truth") * spec.stride <= F.col("t")))
+    return found.select("truth").union(log.sparkSession.range(1).select(F.lit(windows).cast("long").alias("truth")))
 
 
 def drift_ground_truth(spark: SparkSession, n: int, share: float = 0.1) -> DataFrame:

@@ -52,12 +52,15 @@ def transition_matrix(log: DataFrame, spec: WindowSpec, n: int, *, threshold: fl
     measures = ({"time": minutes()} if time else {}) | {a: pair_mean(a) for a in numeric}
     rows = log.withColumn("pane", F.floor(F.col("transition_id") / spec.pane())).select("pane", *PAIR, *(v.alias(k) for k, v in measures.items()))
     by = pane_windows(_sums(rows, measures), spec, n)
+    # Squares are taken about the window's own mean, so that values far from 0 lose nothing.
+    line = Window.partitionBy(*KEY)
+    by = by.withColumns({f"m_{m}": F.sum(F.col(f"n_{m}") * F.col(f"a_{m}")).over(line) / F.nullif(F.sum(f"n_{m}").over(line), F.lit(0)) for m in measures})
     aggs = [F.sum("frequency").alias("frequency")]
     for m in measures:
         k, mean = F.sum(f"n_{m}"), F.sum(F.col(f"n_{m}") * F.col(f"a_{m}"))
-        squares = F.sum(F.col(f"n_{m}") * (F.col(f"v_{m}") + F.col(f"a_{m}") * F.col(f"a_{m}")))
+        squares = F.sum(F.col(f"n_{m}") * (F.col(f"v_{m}") + F.pow(F.col(f"a_{m}") - F.col(f"m_{m}"), 2)))
         names = ("time_avg", "time_std") if m == "time" else (f"numerical_avg_{m}", f"numerical_std_{m}")
-        aggs += [F.coalesce(mean / F.nullif(k, F.lit(0)), F.lit(0.0)).alias(names[0]), F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (squares - mean * mean / F.nullif(k, F.lit(0))) / F.nullif(k - 1, F.lit(0))))).otherwise(0.0).alias(names[1])]
+        aggs += [F.coalesce(mean / F.nullif(k, F.lit(0)), F.lit(0.0)).alias(names[0]), F.when(k > 1, F.sqrt(squares / F.nullif(k - 1, F.lit(0)))).otherwise(0.0).alias(names[1])]
     tm = by.groupBy(*KEY).agg(*aggs)
     tm = tm.withColumn("percentual", F.col("frequency") / F.sum("frequency").over(Window.partitionBy("window_index")))
     tm = tm.filter((F.col("percentual") if threshold < 1 else F.col("frequency")) > threshold)

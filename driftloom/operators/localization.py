@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .features import CONTROL_FLOW, PAIR
 from .transitions import END, START
 
+#: Artificial activities of a graph; any other name is an activity's own.
+BEFORE, AFTER = "unknown_previous_activities", "unknown_following_activities"
+
 
 def perspective_of(feature: str, resource: tuple[str, ...] = (), data: tuple[str, ...] = ()) -> str:
     if feature in CONTROL_FLOW:
@@ -108,8 +111,8 @@ def build_dfg(tm: DataFrame) -> DataFrame:
     nodes = inner.select(F.explode(F.array(*PAIR)).alias("a")).distinct()
     has_in = inner.select(F.col("activity_to").alias("a")).union(e.filter("kind = 'start'").select(F.col("activity_to").alias("a")))
     has_out = inner.select(F.col("activity_from").alias("a")).union(e.filter("kind = 'end'").select(F.col("activity_from").alias("a")))
-    no_in = nodes.join(has_in.distinct(), "a", "left_anti").select(F.lit("unknown_previous_activities").alias("activity_from"), F.col("a").alias("activity_to"))
-    no_out = nodes.join(has_out.distinct(), "a", "left_anti").select(F.col("a").alias("activity_from"), F.lit("unknown_next_activities").alias("activity_to"))
+    no_in = nodes.join(has_in.distinct(), "a", "left_anti").select(F.lit(BEFORE).alias("activity_from"), F.col("a").alias("activity_to"))
+    no_out = nodes.join(has_out.distinct(), "a", "left_anti").select(F.col("a").alias("activity_from"), F.lit(AFTER).alias("activity_to"))
     extra = no_in.union(no_out).select(F.lit("edge").alias("kind"), *PAIR, F.lit(1).cast("long").alias("frequency"))
     return e.select("kind", *PAIR, "frequency").union(extra)
 
@@ -117,7 +120,7 @@ def build_dfg(tm: DataFrame) -> DataFrame:
 def compare_dfgs(ref: DataFrame, det: DataFrame) -> DataFrame:
     """change_type (new_transitions, deleted_transitions, new_activities, deleted_activities), activity_from,
     activity_to (NULL for activities); artificial unknown activities don't count, and activities are those of edges."""
-    real = ~F.col("activity_from").startswith("unknown_") & ~F.col("activity_to").startswith("unknown_")
+    real = ~F.col("activity_from").isin(BEFORE, AFTER) & ~F.col("activity_to").isin(BEFORE, AFTER)
     pairs = lambda d: d.filter(real).select(*PAIR).distinct()
     acts = lambda d: d.filter(real & (F.col("kind") == "edge")).select(F.explode(F.array(*PAIR)).alias("activity_from")).distinct()
     out = []

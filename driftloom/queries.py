@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from .operators import changes as C
 from .operators import clustering, detection, evaluation, prepare
 from .operators import features as P
 from .operators import localization as L
+from .functions.staging import shared_folder, staged
 from .operators import traces as T
 from .operators.transitions import transition_log
 from .operators.windows import WindowSpec, in_windows, trace_windows, window_table
@@ -223,17 +223,20 @@ def q_tm_encodings(spark, d):
     return P.encodings(t, SPEC, n, "k").withColumn("probability", F.round("probability", 6))
 
 
-@query(f"WITH {TM}, ed AS (SELECT *, count(*) OVER (PARTITION BY window_index, a) AS deg FROM tm), ca AS (SELECT window_index, a, b, deg, CASE WHEN deg = 1 AND a <> b THEN 1 ELSE 0 END AS causality FROM ed), "
+#: Edges on simple cycles of at most four edges, and self loops.
+CYCLES = "e AS (SELECT DISTINCT window_index, a, b FROM tm), pa AS (SELECT window_index, a AS s, b AS t, [a, b] AS p FROM e WHERE a <> b UNION ALL SELECT pa.window_index, s, e.b, list_append(p, e.b) FROM pa JOIN e ON e.window_index = pa.window_index AND e.a = pa.t AND e.a <> e.b WHERE len(p) < 4 AND NOT list_contains(p, e.b)), cy AS (SELECT pa.window_index, pa.s AS a, pa.p[2] AS b FROM pa JOIN e ON e.window_index = pa.window_index AND e.a = pa.t AND e.b = pa.s UNION SELECT window_index, a, b FROM e WHERE a = b)"
+
+
+@query(f"WITH RECURSIVE {TM}, {CYCLES}, ed AS (SELECT *, count(*) OVER (PARTITION BY window_index, a) AS deg FROM tm), ca AS (SELECT window_index, a, b, deg, CASE WHEN deg = 1 AND a <> b THEN 1 ELSE 0 END AS causality FROM ed), "
        "ba AS (SELECT x.window_index, x.a, x.b FROM ca x JOIN ca y ON x.window_index = y.window_index AND x.a = y.b AND x.b = y.a WHERE x.a <> x.b AND x.causality = 0 AND y.causality = 0 AND EXISTS (SELECT 1 FROM ca p JOIN ca q ON p.window_index = q.window_index AND p.a = q.a WHERE p.window_index = x.window_index AND p.b = x.a AND q.b = x.b)), "
        "tc AS (SELECT DISTINCT window_index, a AS x FROM ba) "
-       "SELECT ca.window_index, ca.a AS activity_from, ca.b AS activity_to, ca.causality::INT AS causality, CASE WHEN ca.causality = 0 AND (t1.x IS NOT NULL OR t2.x IS NOT NULL) THEN 1 ELSE 0 END::INT AS parallel, CASE WHEN deg > 1 AND ca.causality = 0 AND ba.a IS NULL THEN 1 ELSE 0 END::INT AS choice "
-       "FROM ca LEFT JOIN ba ON ca.window_index = ba.window_index AND ca.a = ba.a AND ca.b = ba.b LEFT JOIN tc t1 ON t1.window_index = ca.window_index AND t1.x = ca.a LEFT JOIN tc t2 ON t2.window_index = ca.window_index AND t2.x = ca.b")
+       "SELECT ca.window_index, ca.a AS activity_from, ca.b AS activity_to, ca.causality::INT AS causality, CASE WHEN ca.causality = 0 AND (t1.x IS NOT NULL OR t2.x IS NOT NULL) THEN 1 ELSE 0 END::INT AS parallel, CASE WHEN deg > 1 AND ca.causality = 0 AND ba.a IS NULL THEN 1 ELSE 0 END::INT AS choice, CASE WHEN cc.a IS NOT NULL AND ba.a IS NULL AND NOT (ca.causality = 0 AND (t1.x IS NOT NULL OR t2.x IS NOT NULL)) THEN 1 ELSE 0 END::INT AS loop "
+       "FROM ca LEFT JOIN ba ON ca.window_index = ba.window_index AND ca.a = ba.a AND ca.b = ba.b LEFT JOIN tc t1 ON t1.window_index = ca.window_index AND t1.x = ca.a LEFT JOIN tc t2 ON t2.window_index = ca.window_index AND t2.x = ca.b LEFT JOIN (SELECT DISTINCT * FROM cy) cc ON cc.window_index = ca.window_index AND cc.a = ca.a AND cc.b = ca.b")
 def q_alpha_relations(spark, d):
-    return P.alpha_relations(tm(spark, d)).select("window_index", "activity_from", "activity_to", "causality", "parallel", "choice")
+    return P.alpha_relations(tm(spark, d)).select("window_index", "activity_from", "activity_to", "causality", "parallel", "choice", "loop")
 
 
-@query(f"WITH RECURSIVE {TM}, e AS (SELECT DISTINCT window_index, a, b FROM tm), pa AS (SELECT window_index, a AS s, b AS t, [a, b] AS p FROM e WHERE a <> b UNION ALL SELECT pa.window_index, s, e.b, list_append(p, e.b) FROM pa JOIN e ON e.window_index = pa.window_index AND e.a = pa.t AND e.a <> e.b WHERE len(p) < 4 AND NOT list_contains(p, e.b)), "
-       "cy AS (SELECT pa.window_index, pa.s AS a, pa.p[2] AS b FROM pa JOIN e ON e.window_index = pa.window_index AND e.a = pa.t AND e.b = pa.s UNION SELECT window_index, a, b FROM e WHERE a = b) SELECT window_index, count(*) AS cycle_edges FROM (SELECT DISTINCT * FROM cy) GROUP BY 1")
+@query(f"WITH RECURSIVE {TM}, {CYCLES} SELECT window_index, count(*) AS cycle_edges FROM (SELECT DISTINCT * FROM cy) GROUP BY 1")
 def q_alpha_cycle_edges(spark, d):
     """Edges on simple cycles of at most four edges: those that aren't parallel are loops."""
     t = tm(spark, d).select("window_index", "activity_from", "activity_to")
@@ -343,7 +346,8 @@ MERGED = f"{TM}, la AS (SELECT max(window_index) AS w FROM tm), me AS (SELECT co
 
 def two_windows(spark, d) -> tuple[DataFrame, DataFrame]:
     t, n = log(spark, d)
-    m = P.transition_matrix(t, SPEC, n).select("window_index", "activity_from", "activity_to", "frequency", "probability").cache()
+    m = P.transition_matrix(t, SPEC, n).select("window_index", "activity_from", "activity_to", "frequency", "probability")
+    m = staged(m.filter(F.col("window_index").isin(0, SPEC.last(n))), "windows")
     return m.filter("window_index = 0").drop("window_index"), m.filter(F.col("window_index") == SPEC.last(n)).drop("window_index")
 
 
@@ -368,7 +372,7 @@ def q_significant_changes(spark, d):
     return L.significant_changes(*two_windows(spark, d), ("frequency", "probability"))
 
 
-DFG = f"{MERGED}, e AS (SELECT 'ref' AS side, a, b, fr AS f FROM me WHERE fr > 0 UNION ALL SELECT 'det', a, b, fd FROM me WHERE fd > 0), k AS (SELECT *, CASE WHEN a = 'START' THEN 'start' WHEN b = 'END' THEN 'end' ELSE 'edge' END AS kind FROM e), nd AS (SELECT DISTINCT side, x FROM (SELECT side, a AS x FROM k WHERE kind = 'edge' UNION ALL SELECT side, b FROM k WHERE kind = 'edge')), gr AS (SELECT side, kind, a, b, f::BIGINT AS f FROM k UNION ALL SELECT side, 'edge', 'unknown_previous_activities', x, 1 FROM nd WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.side = nd.side AND k.b = nd.x AND kind <> 'end') UNION ALL SELECT side, 'edge', x, 'unknown_next_activities', 1 FROM nd WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.side = nd.side AND k.a = nd.x AND kind <> 'start'))"
+DFG = f"{MERGED}, e AS (SELECT 'ref' AS side, a, b, fr AS f FROM me WHERE fr > 0 UNION ALL SELECT 'det', a, b, fd FROM me WHERE fd > 0), k AS (SELECT *, CASE WHEN a = 'START' THEN 'start' WHEN b = 'END' THEN 'end' ELSE 'edge' END AS kind FROM e), nd AS (SELECT DISTINCT side, x FROM (SELECT side, a AS x FROM k WHERE kind = 'edge' UNION ALL SELECT side, b FROM k WHERE kind = 'edge')), gr AS (SELECT side, kind, a, b, f::BIGINT AS f FROM k UNION ALL SELECT side, 'edge', 'unknown_previous_activities', x, 1 FROM nd WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.side = nd.side AND k.b = nd.x AND kind <> 'end') UNION ALL SELECT side, 'edge', x, 'unknown_following_activities', 1 FROM nd WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.side = nd.side AND k.a = nd.x AND kind <> 'start'))"
 
 
 @query(f"WITH {DFG} SELECT side, kind, a AS activity_from, b AS activity_to, f AS frequency FROM gr")
@@ -377,7 +381,7 @@ def q_build_dfg(spark, d):
     return L.build_dfg(ref).select(F.lit("ref").alias("side"), "*").union(L.build_dfg(det).select(F.lit("det").alias("side"), "*"))
 
 
-CMP = f"{DFG}, re AS (SELECT DISTINCT side, kind, a, b FROM gr WHERE a NOT LIKE 'unknown!_%' ESCAPE '!' AND b NOT LIKE 'unknown!_%' ESCAPE '!'), ac AS (SELECT DISTINCT side, x FROM (SELECT side, a AS x FROM re WHERE kind = 'edge' UNION ALL SELECT side, b FROM re WHERE kind = 'edge')), di AS (SELECT CASE side WHEN 'det' THEN 'new' ELSE 'deleted' END || '_transitions' AS change_type, a AS activity_from, b AS activity_to FROM re r WHERE NOT EXISTS (SELECT 1 FROM re o WHERE o.side <> r.side AND o.a = r.a AND o.b = r.b) UNION ALL SELECT CASE side WHEN 'det' THEN 'new' ELSE 'deleted' END || '_activities', x, NULL FROM ac r WHERE NOT EXISTS (SELECT 1 FROM ac o WHERE o.side <> r.side AND o.x = r.x))"
+CMP = f"{DFG}, re AS (SELECT DISTINCT side, kind, a, b FROM gr WHERE a NOT IN ('unknown_previous_activities', 'unknown_following_activities') AND b NOT IN ('unknown_previous_activities', 'unknown_following_activities')), ac AS (SELECT DISTINCT side, x FROM (SELECT side, a AS x FROM re WHERE kind = 'edge' UNION ALL SELECT side, b FROM re WHERE kind = 'edge')), di AS (SELECT CASE side WHEN 'det' THEN 'new' ELSE 'deleted' END || '_transitions' AS change_type, a AS activity_from, b AS activity_to FROM re r WHERE NOT EXISTS (SELECT 1 FROM re o WHERE o.side <> r.side AND o.a = r.a AND o.b = r.b) UNION ALL SELECT CASE side WHEN 'det' THEN 'new' ELSE 'deleted' END || '_activities', x, NULL FROM ac r WHERE NOT EXISTS (SELECT 1 FROM ac o WHERE o.side <> r.side AND o.x = r.x))"
 
 
 def graphs(spark, d):
@@ -492,7 +496,7 @@ def q_drift_ground_truth(spark, d):
 @query(f"WITH {LOG}, {windows_sql()}, f AS (SELECT case_id, min(tid) AS t FROM tl WHERE case_id IN ('3', '7', '11') GROUP BY 1) SELECT min(window_index)::BIGINT AS truth FROM f JOIN wi ON s <= t AND t <= e GROUP BY case_id UNION ALL SELECT count(*)::BIGINT FROM wi")
 def q_ground_truth_windows(spark, d):
     t, n = log(spark, d)
-    return evaluation.ground_truth_windows(t, ["3", "7", "11"], window_table(spark, n, SPEC), SPEC.last(n) + 1)
+    return evaluation.ground_truth_windows(t, ["3", "7", "11"], SPEC, n)
 
 
 @query("WITH s AS (SELECT l_returnflag AS f, l_quantity AS x, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS y FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY f ORDER BY x) + (count(*) OVER (PARTITION BY f, x) - 1) / 2.0 AS k FROM s) SELECT f AS l_returnflag, round((sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r GROUP BY f")
@@ -539,11 +543,157 @@ def q_nearest_lookup(spark, d):
     return evaluation.nearest_lookup(e, t, "event_id", "i", "v", 37)
 
 
-@query()
+RUNS = "t AS (SELECT user_id, coalesce(list_sort(list(event_id) FILTER (WHERE event_type = 'click')), []) AS ds, coalesce(list_sort(list(event_id) FILTER (WHERE event_type = 'purchase')), []) AS rs FROM events GROUP BY 1)"
+
+
+def detections(spark, d) -> DataFrame:
+    """Clicks as detections of purchases, by user."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ids = lambda t: F.array_sort(F.collect_list(F.when(F.col("event_type") == t, F.col("event_id"))))
+    return e.groupBy("user_id").agg(ids("click").alias("ds"), ids("purchase").alias("rs"))
+
+
+@query(f"WITH RECURSIVE {RUNS}, r AS (SELECT user_id, ds, rs, 0 AS k, []::BIGINT[] AS found, 0::BIGINT AS delay FROM t UNION ALL SELECT user_id, ds, rs, k + 1, CASE WHEN c IS NULL THEN found ELSE list_append(found, c) END, delay + coalesce(ds[k + 1] - rs[c], 0) FROM (SELECT *, list_filter(range(1, len(rs) + 1), lambda i: NOT list_contains(found, i) AND ds[k + 1] - rs[i] BETWEEN 0 AND 100)[1] AS c FROM r WHERE k < len(ds))), "
+       "z AS (SELECT *, len(found) AS h, CASE WHEN len(ds) > 0 THEN len(found) / len(ds) ELSE 0.0 END AS p, CASE WHEN len(rs) > 0 THEN len(found) / len(rs) ELSE 0.0 END AS q FROM r WHERE k = len(ds)) "
+       "SELECT user_id, round(p, 6)::DOUBLE AS \"Precision\", round(q, 6)::DOUBLE AS \"Recall\", round(CASE WHEN h > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 6)::DOUBLE AS \"F1\", round(CASE WHEN h > 0 THEN delay / h END, 6)::DOUBLE AS \"Delay\" FROM z")
 def q_drift_metrics(spark, d):
-    m = evaluation.drift_metrics([110, 250, 420], [100, 200, 300], 50)
-    g = evaluation.margin_metrics([10, 20, 30, 100], [11, 25, 100], 4)
-    return spark.createDataFrame(pd.DataFrame([{k: v for k, v in m.items() if k != "Detected"} | {f"margin_{k}": v for k, v in g.items()}]))
+    m = evaluation.drift_metrics_of(detections(spark, d), "ds", "rs", 50)
+    return m.select("user_id", *(F.round(c, 6).alias(c) for c in ("Precision", "Recall", "F1", "Delay")))
+
+
+@query(f"WITH RECURSIVE {RUNS}, u AS (SELECT user_id, rs[1:greatest(len(rs) - 1, 0)] AS ts, ds[1:greatest(len(ds) - 1, 0)] AS fs FROM t), r AS (SELECT user_id, ts, fs, 0 AS k, []::BIGINT[] AS used FROM u UNION ALL SELECT user_id, ts, fs, k + 1, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END FROM (SELECT *, list_sort(list_transform(list_filter(fs, lambda d: NOT list_contains(used, d) AND abs(d - ts[k + 1]) < 40), lambda d: {{'far': abs(d - ts[k + 1]), 'd': d}}))[1].d AS c FROM r WHERE k < len(ts))), "
+       "z AS (SELECT *, len(fs) > 0 AND len(ts) > 0 AS ok, CASE WHEN len(fs) > 0 AND len(ts) > 0 THEN len(used) / len(fs) ELSE 0.0 END AS p, CASE WHEN len(fs) > 0 AND len(ts) > 0 THEN len(used) / len(ts) ELSE 0.0 END AS q FROM r WHERE k = len(ts)) "
+       "SELECT user_id, round(p, 6)::DOUBLE AS precision, round(q, 6)::DOUBLE AS recall, CASE WHEN p + q > 0 THEN round(2 * p * q / (p + q), 2) ELSE 0.0 END::DOUBLE AS f1, round(CASE WHEN ok THEN list_sum(list_transform(fs, lambda d: list_min(list_transform(ts, lambda t: abs(d - t))))) / len(fs) END, 6)::DOUBLE AS meantime FROM z")
+def q_margin_metrics(spark, d):
+    m = evaluation.margin_metrics_of(detections(spark, d), "rs", "ds", 40)
+    return m.select("user_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "meantime")))
+
+
+# Sources: logs written to the shared folder and read back.
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, d, entry, case, name: str) -> str:
+    """A folder of eight documents with one element for each user, their events in order within it."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", entry.alias("entry"))
+    in_order = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "entry"))), lambda x: x["entry"]), "")
+    users = e.groupBy("user_id").agg(in_order("event_id").alias("entries")).select("user_id", case(F.col("user_id").cast("string"), F.col("entries")).alias("entry"))
+    files = users.groupBy((F.col("user_id") % 8).alias("file")).agg(F.concat(F.lit("<log>"), in_order("user_id"), F.lit("</log>")).alias("value"))
+    folder = _folder(spark, name)
+    files.write.partitionBy("file").text(folder)
+    return folder
+
+
+def _mxml(spark, d) -> str:
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    kind = F.when(F.col("event_id") % 3 == 0, "start").otherwise("complete")
+    entry = F.concat(F.lit("<AuditTrailEntry><Data><Attribute name='x'>a</Attribute><Attribute name='v'>"), F.col("value").cast("string"), F.lit("</Attribute></Data><WorkflowModelElement>user "), F.col("event_type"), F.lit("</WorkflowModelElement><EventType>"), kind, F.lit("</EventType><Timestamp>"), stamp, F.lit("</Timestamp><Originator>o"), (F.col("event_id") % 7).cast("string"), F.lit("</Originator></AuditTrailEntry>"))
+    return _written(spark, d, entry, lambda user, entries: F.concat(F.lit("<ProcessInstance id='"), user, F.lit("'>"), entries, F.lit("</ProcessInstance>")), "mxml")
+
+
+MX = "mx AS (SELECT user_id::VARCHAR AS \"CaseId\", 'user ' || event_type AS el, CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'complete' END AS ty, strftime(ts, '%Y-%m-%d %H:%M:%S') AS st, 'o' || (event_id % 7) AS orig, value, event_id FROM events)"
+
+
+@query(f"WITH {MX} SELECT \"CaseId\", el AS \"WorkflowModelElement\", ty AS \"EventType\", st AS \"Timestamp\", orig AS \"Originator\", value::DOUBLE AS \"Data\", row_number() OVER (PARTITION BY \"CaseId\" ORDER BY event_id) AS nth FROM mx")
+def q_scan_mxml(spark, d):
+    from pyspark.sql import Window
+
+    from .sources.logs import read_mxml
+
+    e = read_mxml(spark, _mxml(spark, d))
+    return e.withColumn("nth", F.row_number().over(Window.partitionBy("CaseId").orderBy("event_order")).cast("long")).withColumn("Data", F.col("Data").cast("double")).drop("event_order")
+
+
+@query(f"WITH {MX} SELECT \"CaseId\", el AS \"WorkflowModelElement\", CASE el WHEN 'user click' THEN 'Press' ELSE replace(el, ' ', '_') END AS \"Activity\" FROM mx")
+def q_prep_mxml(spark, d):
+    from .sources.logs import prep_mxml, read_mxml
+
+    return prep_mxml(read_mxml(spark, _mxml(spark, d)), {"user_click": "Press"}).select("CaseId", "WorkflowModelElement", "Activity")
+
+
+@query(f"WITH {MX} SELECT \"CaseId\", replace(el, ' ', '_') AS \"Activity\", st AS \"Timestamp_Complete\", 1::BIGINT AS traces FROM mx WHERE ty = 'complete'")
+def q_all_prep(spark, d):
+    """Completed entries; each case is one trace here, as its entries stand together."""
+    from pyspark.sql import Window
+
+    from .sources.logs import all_prep
+
+    e = all_prep(spark, _mxml(spark, d))
+    own = Window.partitionBy("CaseId")
+    return e.withColumn("traces", (F.max("Trace_order").over(own) - F.min("Trace_order").over(own) + 1).cast("long")).select("CaseId", "Activity", "Timestamp_Complete", "traces")
+
+
+@query("SELECT user_id::VARCHAR AS case_name, event_type AS activity, ts, value, (event_id % 7)::BIGINT AS part, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events")
+def q_scan_xes(spark, d):
+    from pyspark.sql import Window
+
+    from .sources.logs import flatten_xes, read_xes
+
+    pair = lambda kind, key, value: F.concat(F.lit(f"<{kind} key='{key}' value='"), value, F.lit("'/>"))
+    entry = F.concat(F.lit("<event>"), pair("string", "concept:name", F.col("event_type")), pair("date", "time:timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), pair("float", "value", F.col("value").cast("string")), pair("int", "part", (F.col("event_id") % 7).cast("string")), F.lit("</event>"))
+    folder = _written(spark, d, entry, lambda user, entries: F.concat(F.lit("<trace>"), pair("string", "concept:name", user), entries, F.lit("</trace>")), "xes")
+    e = flatten_xes(read_xes(spark, folder), {"case:concept:name": "string", "concept:name": "string", "time:timestamp": "timestamp_ntz", "value": "double", "part": "long"})
+    e = e.toDF("case_name", "activity", "ts", "value", "part", "event_order")
+    return e.withColumn("nth", F.row_number().over(Window.partitionBy("case_name").orderBy("event_order")).cast("long")).drop("event_order")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def q_scan_csv(spark, d):
+    from .sources.logs import read_csv_log, write_csv
+
+    folder = _folder(spark, "csv")
+    write_csv(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value"), folder)
+    return read_csv_log(spark, folder, "event_id long, user_id long, event_type string, value double")
+
+
+@query("SELECT c_custkey, 'cp_' || c_custkey || 'k' AS log_name, c_custkey * 1000 AS log_size, 'cp' AS pattern, (c_custkey % 30)::INT AS noise FROM customer")
+def q_parse_path_meta(spark, d):
+    from .sources.logs import path_meta
+
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    name = F.concat(F.lit("/logs/noise_"), F.col("c_custkey") % 30, F.lit("/cp_"), F.col("c_custkey"), F.lit("k.mxml.gz"))
+    return path_meta(c.select("c_custkey", name.alias("path"))).drop("path")
+
+
+# Further branches.
+
+
+@query("WITH t AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i FROM (SELECT DISTINCT user_id FROM events)), n AS (SELECT count(*) AS n FROM t), w AS (SELECT unnest(range(0, greatest(0, n - 20 + 1), 5)) AS s FROM n) SELECT s::BIGINT AS window_start, count(*) AS n, sum(user_id)::BIGINT AS users FROM w JOIN t ON i >= s AND i < s + 20 GROUP BY s")
+def q_trace_window_sliding(spark, d):
+    from .functions.staging import with_dense_id
+
+    t = with_dense_id(spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct(), "trace_order", "user_id")
+    return trace_windows(t, 20, t.count(), sliding=True, step=5).groupBy("window_start").agg(F.count("*").alias("n"), F.sum("user_id").cast("long").alias("users"))
+
+
+@query(f"WITH {TM}, k AS (SELECT * FROM tm WHERE frequency > 4) SELECT window_index, a AS activity_from, b AS activity_to, frequency, round(frequency / sum(frequency) OVER (PARTITION BY window_index, a), 6) AS probability FROM k")
+def q_anomaly_filter_count(spark, d):
+    return tm(spark, d, threshold=4).select("window_index", "activity_from", "activity_to", "frequency", F.round("probability", 6).alias("probability"))
+
+
+BIGRAMS = "p AS (SELECT user_id, event_type || ' ' || lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS term FROM events), c AS (SELECT user_id, term, count(*) AS n FROM p WHERE term IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {BIGRAMS} SELECT user_id AS trace_order, term, 1.0::DOUBLE AS value FROM c")
+def q_vec_binary_transitions(spark, d):
+    return T.vectorize(tokens(spark, d), "binary", transitions=True)
+
+
+@query(f"WITH {BIGRAMS}, f AS (SELECT term, count(*) AS df FROM c GROUP BY 1), m AS (SELECT count(DISTINCT user_id) AS m FROM events) SELECT user_id AS trace_order, c.term, round(n * (ln(m / df) + 1), 6) AS value FROM c JOIN f USING (term), m")
+def q_vec_tfidf_transitions(spark, d):
+    return T.vectorize(tokens(spark, d), "tfidf", transitions=True).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {ENC}, ct AS (SELECT window_index, a, b, count(*) AS u, -sum(p * log2(p)) AS h FROM ep GROUP BY ALL), ti AS (SELECT window_index, a, b, avg((epoch_us(t2) - epoch_us(t1)) / 6e7) AS m FROM tw GROUP BY ALL) SELECT tm.window_index, tm.a AS activity_from, tm.b AS activity_to, tm.frequency, round(ti.m, 4) AS time_avg, coalesce(u, 0) AS categorical_unique_k, round(coalesce(h, 0), 6) + 0 AS categorical_entropy_k FROM tm JOIN ti USING (window_index, a, b) LEFT JOIN ct USING (window_index, a, b)")
+def q_tm_merge(spark, d):
+    t, n = log(spark, d)
+    m = P.full_matrix(t, SPEC, n, time=True, categorical_attrs=("k",))
+    return m.select("window_index", "activity_from", "activity_to", "frequency", F.round("time_avg", 4).alias("time_avg"), "categorical_unique_k", (F.round("categorical_entropy_k", 6) + 0).alias("categorical_entropy_k"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

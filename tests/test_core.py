@@ -315,3 +315,41 @@ def test_detection_of_a_constant_signal(spark):
     s = spark.createDataFrame([("f", i, 0.0) for i in range(12)], "feature string, window_index long, value double")
     assert detection.threshold(s, "ge", 1.0).first().detection_results == [10]
     assert detection.cpd_pelt(s, size=4, step=4, pen=1.0).first().detection_results == [13]
+
+
+def test_metrics_of_tables_are_those_of_lists(spark):
+    import random
+
+    from driftloom.operators import evaluation
+
+    rng = random.Random(3)
+    rows = [(k, sorted(rng.sample(range(300), rng.randint(0, 9))), sorted(rng.sample(range(300), rng.randint(0, 9)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, d array<long>, r array<long>")
+    one = {x.k: x for x in evaluation.drift_metrics_of(df, "d", "r", 25).collect()}
+    two = {x.k: x for x in evaluation.margin_metrics_of(df, "r", "d", 30).collect()}
+    for k, d, r in rows:
+        a, b = evaluation.drift_metrics(d, r, 25), evaluation.margin_metrics(r, d, 30)
+        assert all(one[k][c] == pytest.approx(a[c]) for c in ("Precision", "Recall", "F1")) and (one[k].Delay is None) == (a["Delay"] != a["Delay"])
+        assert all(two[k][c] == pytest.approx(b[c], abs=0.006) for c in ("precision", "recall", "f1")) and (two[k].meantime is None) == (b["meantime"] != b["meantime"])
+    assert evaluation.drift_metrics_of(df.select("k", F.lit(None).cast("array<long>").alias("d"), "r"), "d", "r", 5).filter("F1 = 0").count() == 60
+
+
+def test_activities_named_like_artificial_ones(spark):
+    from driftloom.operators import localization as L
+
+    ref = spark.createDataFrame([("START", "a", 2), ("a", "unknown_error", 2), ("unknown_error", "END", 2)], "activity_from string, activity_to string, frequency long")
+    det = spark.createDataFrame([("START", "a", 2), ("a", "b", 2)], "activity_from string, activity_to string, frequency long")
+    got = {tuple(r) for r in L.compare_dfgs(L.build_dfg(ref), L.build_dfg(det)).collect()}
+    assert ("deleted_activities", "unknown_error", None) in got and ("deleted_transitions", "a", "unknown_error") in got
+    assert not any(x in (L.BEFORE, L.AFTER) for r in got for x in r)
+
+
+def test_squares_of_values_far_from_zero(spark, mini_log):
+    from driftloom.operators.features import transition_matrix
+    from driftloom.operators.windows import WindowSpec
+
+    rows = [(k, "a", "b", 1e9 + (k % 3), 1e9 + (k % 3)) for k in range(40)]
+    t = spark.createDataFrame(rows, "transition_id long, activity_from string, activity_to string, v_from double, v_to double")
+    for r in transition_matrix(t, WindowSpec(12, 3), 40, numeric=("v",)).collect():
+        x = [k % 3 for k in range(r.window_index * 3, r.window_index * 3 + 12)]
+        assert r.numerical_std_v == pytest.approx((sum((y - sum(x) / 12) ** 2 for y in x) / 11) ** 0.5, rel=1e-6)
