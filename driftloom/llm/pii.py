@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: Labelers and the bounds of their reliability: a check digit or a strict pattern is seldom wrong, borders say little.
-LABELERS = {"pattern": (0.9, 0.99), "gazetteer": (0.55, 0.75), "context": (0.7, 0.95), "form": (0.9, 0.99), "borders": (0.5, 0.6)}
+#: Labelers and how reliable each is taken to be before any vote is seen; TRUST votes' worth, so the corpus decides.
+LABELERS = {"pattern": 0.95, "gazetteer": 0.65, "context": 0.8, "form": 0.95, "borders": 0.55}
+TRUST = 20.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -31,7 +32,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EMAIL_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,5}")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|[A-Za-z0-9_-]{24,})(?![A-Za-z0-9_-])")
 _DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
@@ -128,7 +129,7 @@ def _votes(text: str, kind: str, a: int, b: int, strict: bool) -> tuple[int, ...
         form = 9 <= len(d) <= 15
     else:
         hexed = all(c in "0123456789abcdefABCDEF" for c in x)
-        listed = hexed and len(x) in (32, 40, 64) or x.startswith(("sk-", "ghp_", "AKIA", "xox"))
+        listed = hexed and len(x) in (32, 40, 64) or x.startswith(("sk-", "ghp_", "AKIA", "ASIA", "xox"))
         form = len(d) >= len(x) / 10 and len(set(x)) >= 8
     near = 1 if before & NEAR[kind] else -1 if before & NOT_NEAR else 0
     open_ = (not a or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
@@ -142,12 +143,31 @@ def code_of(kind: str, votes: tuple[int, ...]) -> int:
     return code
 
 
-def fit(codes: np.ndarray, counts: np.ndarray, *, rounds: int = 200, smooth: float = 1.0, ridge: float = 1e-3) -> dict[int, float]:
+def reliabilities(votes: np.ndarray, counts: np.ndarray, *, rounds: int = 500, trust: float = TRUST) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM over vote patterns (rows of -1, 0, 1) of one kind and their counts: posterior by pattern, reliability by
+    labeler and the share of candidates that are personal data. A labeler that votes is right with its reliability and
+    says nothing when it abstains; the votes' worth of what is taken beforehand keeps the two classes apart and is
+    outweighed by the corpus."""
+    before = np.array(list(LABELERS.values()))
+    right, share = before, 0.5
+    p = np.full(len(votes), 0.5)
+    for _ in range(rounds):
+        new = 1 / (1 + np.exp(-np.log(share / (1 - share)) - (votes * np.log(right / (1 - right))).sum(1)))
+        done = np.abs(new - p).max(initial=0) < 1e-9
+        p = new
+        if done:
+            break
+        agree = np.where(votes > 0, p[:, None], np.where(votes < 0, 1 - p[:, None], 0)) * counts[:, None]
+        right = (agree.sum(0) + trust * before) / (((votes != 0) * counts[:, None]).sum(0) + trust)
+        share = ((p * counts).sum() + trust / 2) / (counts.sum() + trust)
+    return p, right, share
+
+
+def fit(codes: np.ndarray, counts: np.ndarray, *, ridge: float = 1e-3) -> dict[int, float]:
     """Probability that a candidate is personal data, by code (kind and votes).
 
-    EM by kind: a labeler that votes is right with an estimated reliability within its bounds, and says nothing when
-    it abstains; as much speaks for as against a candidate before the votes. Then logistic regression on kind and votes, with the posteriors as soft labels and the counts
-    as weights (Newton's method; at most kinds times 3 ** labelers rows)."""
+    ``reliabilities`` by kind, then logistic regression on kind and votes, with the posteriors as soft labels and the
+    counts as weights (Newton's method; at most kinds times 3 ** labelers rows)."""
     codes, counts = np.asarray(codes, np.int64), np.asarray(counts, float)
     if not len(codes):
         return {}
@@ -156,19 +176,7 @@ def fit(codes: np.ndarray, counts: np.ndarray, *, rounds: int = 200, smooth: flo
     kind = codes // 3**n
     soft = np.zeros(len(codes))
     for k in np.unique(kind):
-        at = kind == k
-        v, c = votes[at], counts[at]
-        p = 1 / (1 + np.exp(-v.sum(1).astype(float)))
-        for _ in range(rounds):
-            w = np.where(v > 0, p[:, None], np.where(v < 0, 1 - p[:, None], 0)) * c[:, None]
-            right = (w.sum(0) + 2 * smooth) / (((v != 0) * c[:, None]).sum(0) + 3 * smooth)
-            right = np.clip(right, *np.array(list(LABELERS.values())).T)
-            new = 1 / (1 + np.exp(-(v * np.log(right / (1 - right))).sum(1)))
-            done = np.abs(new - p).max() < 1e-9
-            p = new
-            if done:
-                break
-        soft[at] = p
+        soft[kind == k] = reliabilities(votes[kind == k], counts[kind == k])[0]
     X = np.concatenate([np.eye(len(KINDS))[kind], *((votes == v).astype(float) for v in (-1, 1))], axis=1)
     b = np.zeros(X.shape[1])
     weight = counts / counts.sum()

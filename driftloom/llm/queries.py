@@ -62,14 +62,28 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch, which is sent twice."""
-    from ._base import new_folder
+    """Totals after four batches over all documents: counts under an old version of the words, a revision of each to
+    the new one, the counts of a second tokenizer, and the deletion and return of each document without words. Each
+    batch is sent twice."""
+    from pyspark.sql import functions as F
+
+    from ._base import new_folder, stage
     from .rollup import TokenRollup, inserts
 
     rollup = TokenRollup(spark, new_folder(spark, "rollup"))
-    changes = inserts(read_table(spark, sf_dir, "documents"), {"words-1": "", "byte_bpe_50k-1": _tokenizer("byte_bpe_50k.json")})
+    counted = stage(inserts(read_table(spark, sf_dir, "documents"), {"words-1": "", "byte_bpe_50k-1": _tokenizer("byte_bpe_50k.json")}), "counted")
+    words, subwords = (counted.filter(f"tokenizer = '{x}'") for x in ("words-1", "byte_bpe_50k-1"))
+    as_old = {f"old_{c}": F.col(c) for c in ("source", "lang", "tokenizer", "n_tokens")}
+    gone = words.filter("n_tokens = 0")
+    batches = {
+        "first": words.withColumn("tokenizer", F.lit("words-0")),
+        "revised": words.withColumns(as_old | {"op": F.lit("revise"), "old_tokenizer": F.lit("words-0")}),
+        "second": subwords,
+        "empty": gone.withColumns(as_old | {"op": F.lit("delete")}).unionByName(gone),
+    }
     for _ in range(2):
-        rollup.commit("documents", changes)
+        for name, changes in batches.items():
+            rollup.commit(name, changes)
     return rollup.totals()
 
 
