@@ -357,7 +357,8 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, threshold: int = 80, id_col: st
     some = sig.filter("n > 0")
     # Equal sets are one node: the row of the smallest id.
     reps = stage(some.groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("x")).select("digest", F.col("x.doc").alias("doc"), F.col("x.row").alias("node")), "representatives")
-    ours = some.select(F.col("row").alias("node"), "n", "point", "prefix").join(reps.select("node"), "node", "left_semi")
+    # By merge at every size, as the nodes grow with the documents; once, as both prefixes and points are wanted.
+    ours = stage(some.select(F.col("row").alias("node"), "n", "point", "prefix").join(reps.select("node").hint("merge"), "node", "left_semi"), "nodes")
     tokens = ours.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     counted = tokens.withColumn("size", F.count("*").over(Window.partitionBy("token"))).filter("size > 1")
     blocks = stage(counted, "blocks")
