@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import shared_folder
+
 #: Stands in for a missing document id inside operators; results show NULL again.
 NO_ID = -(2**63)
 #: Deletes nothing but these characters between words.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or where the session has
-    none (tests on one machine) a temporary folder, which then also becomes the checkpoint folder."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        given = sc._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            return given.get()
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='driftloom-')}"
-        sc.setCheckpointDir(named)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return named
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

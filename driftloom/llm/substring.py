@@ -6,10 +6,10 @@ A document is factored against every earlier text of the corpus. The reference i
 travel as one row; an anchor of very many places is left out, and each of its windows is a block of its own. Anchors
 are counted first, and windows of an anchor that occurs once aren't sent at all. Windows of one anchor are told apart
 by 64-bit hashes of their words: by chance, n different windows of one anchor hold n * n / 2 ** 65 pairs taken for
-equal. A window found earlier
-elsewhere is the seed of a factor; seeds in a row that keep the same distance to their source are one factor. The
-document is then parsed greedily, at each word taking the factor that reaches furthest; as each factor is checked from
-the start of its match and not from the last factor's end, no match of ``window`` words is lost at a boundary.
+equal. A window found earlier elsewhere is the seed of a factor; seeds in a row that keep the same distance to their
+source are one factor. The document is then parsed greedily, at each word taking the factor that reaches furthest; as
+each factor is checked from the start of its match and not from the last factor's end, no match of ``window`` words is
+lost at a boundary.
 
 Windows that repeat within a block of documents that a task reads together are settled there, so a passage that
 many documents share is sent once for each such block and not once for each document.
