@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import LOWER, UPPER, oracle
-from .lm import VOCABULARY
+from .lm import PRIOR
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 LOW_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
@@ -12,16 +12,13 @@ SQL = {
     "op1_lm_scoring": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS tgt FROM documents),
 t AS (SELECT doc_id, tgt, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
-vo AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id FROM t GROUP BY word QUALIFY id < {VOCABULARY}),
-sz AS (SELECT count(*) + 1 AS v FROM vo),
-x AS (SELECT doc_id, tgt, pos, coalesce(id, 0) AS id FROM t LEFT JOIN vo USING (word)),
-b AS (SELECT doc_id, tgt, id, coalesce(lag(id) OVER (PARTITION BY doc_id ORDER BY pos), (SELECT v FROM sz)) AS prev FROM x),
-c AS (SELECT prev, id, count(*) AS na, count(*) FILTER (WHERE tgt) AS nt FROM b GROUP BY ALL),
-r AS (SELECT prev, sum(na) AS ca, count(*) AS ka, sum(nt) AS ct, count(*) FILTER (WHERE nt > 0) AS kt FROM c GROUP BY prev),
-u AS (SELECT id, sum(na) AS ua, sum(nt) AS ut FROM c GROUP BY id),
-n AS (SELECT sum(ua) AS sa, sum(ut) AS st FROM u),
-p AS (SELECT prev, id, (na + ka * ((ua + 1) / (sa + v)::DOUBLE)) / (ca + ka) AS pa, CASE WHEN ct > 0 THEN (nt + kt * ((ut + 1) / (st + v)::DOUBLE)) / (ct + kt) ELSE (ut + 1) / (st + v)::DOUBLE END AS pt FROM c JOIN r USING (prev) JOIN u USING (id), n, sz),
-s AS (SELECT doc_id, count(*) AS n_words, avg(-ln(pt)) AS tl, avg(-ln(pa)) AS bl FROM b JOIN p USING (prev, id) GROUP BY doc_id)
+b AS (SELECT doc_id, tgt, word, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), '') AS prev FROM t),
+c AS (SELECT prev, word, count(*) AS na, count(*) FILTER (WHERE tgt) AS nt FROM b GROUP BY ALL),
+u AS (SELECT word, count(*) AS ua, count(*) FILTER (WHERE tgt) AS ut FROM t GROUP BY word),
+r AS (SELECT word AS prev, ua AS ca, ut AS ct FROM u UNION ALL SELECT '', count(*), count(*) FILTER (WHERE tgt) FROM d WHERE len(w) > 0),
+n AS (SELECT sum(ua) AS sa, sum(ut) AS st, count(*) AS v FROM u),
+p AS (SELECT prev, word, (na + {PRIOR} * ((ua + 1) / (sa + v)::DOUBLE)) / (ca + {PRIOR}) AS pa, (nt + {PRIOR} * ((ut + 1) / (st + v)::DOUBLE)) / (ct + {PRIOR}) AS pt FROM c JOIN r USING (prev) JOIN u USING (word), n),
+s AS (SELECT doc_id, count(*) AS n_words, avg(-ln(pt)) AS tl, avg(-ln(pa)) AS bl FROM b JOIN p USING (prev, word) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(tl, 4) AS target_loss, round(bl, 4) AS background_loss, round(tl - bl, 4) AS score FROM documents LEFT JOIN s USING (doc_id)""",
     "op2_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),

@@ -438,38 +438,42 @@ def test_lm_scores_against_brute_force(spark, docs, empty):
     rows = [(k, " ".join(words(k, 200, 15 if k % 2 else 60))) for k in range(40)] + [(40, None), (41, "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, target int")
     target = spark.createDataFrame([(k,) for k in range(1, 20, 2)] + [(None,), (999,), (1,)], "doc_id long")
-    got = {r.doc_id: r for r in lm.lm_scores(df, target, size=30).collect()}
-    uni = Counter(w for _, t in rows for w in (t or "").split())
-    vocab = [w for w, _ in sorted(uni.items(), key=lambda x: (-x[1], x[0]))[:29]]
-    ids = {w: i for i, w in enumerate(vocab, 1)}
+    keep = lm.BUCKET_WORDS
+    whole = {r.doc_id: r for r in lm.lm_scores(df, target).collect()}
+    try:
+        lm.BUCKET_WORDS = 700
+        got = {r.doc_id: r for r in lm.lm_scores(df.repartition(7), target).collect()}
+    finally:
+        lm.BUCKET_WORDS = keep
+    assert all(got[k].score == pytest.approx(r.score) if r.score is not None else got[k].score is None for k, r in whole.items()) and len(got) == len(whole)
+    kinds = len({w for _, t in rows for w in (t or "").split()})
 
     def model(keep):
-        c, one = defaultdict(Counter), Counter()
+        c, one = Counter(), Counter()
         for i, t in rows:
-            if keep(i):
-                x = [ids.get(w, 0) for w in (t or "").split()]
-                for a, b in zip([30, *x], x, strict=False):
-                    c[a][b] += 1
-                    one[b] += 1
-        n = sum(one.values())
-
-        def p(a, b):
-            p1 = (one[b] + 1) / (n + 30)
-            return (c[a][b] + len(c[a]) * p1) / (sum(c[a].values()) + len(c[a])) if c[a] else p1
-
-        return p
+            if keep(i) and (t or "").split():
+                x = t.split()
+                c.update(zip([None, *x], x, strict=False))
+                one.update([None, *x])
+        n = sum(v for k, v in one.items() if k is not None)
+        return lambda a, b: (c[a, b] + lm.PRIOR * (one[b] + 1) / (n + kinds)) / (one[a] + lm.PRIOR)
 
     t, a = model(lambda i: i in range(1, 20, 2)), model(lambda i: True)
     for i, text in rows:
-        x = [ids.get(w, 0) for w in (text or "").split()]
+        x = (text or "").split()
         if not x:
             assert got[i].n_words == 0 and got[i].score is None
             continue
-        pairs = list(zip([30, *x], x, strict=False))
+        pairs = list(zip([None, *x], x, strict=False))
         assert got[i].target_loss == pytest.approx(-np.mean([np.log(t(*q)) for q in pairs])) and got[i].background_loss == pytest.approx(-np.mean([np.log(a(*q)) for q in pairs]))
     held = [got[k].score for k in range(21, 40, 2)], [got[k].score for k in range(20, 40, 2)]
     assert np.mean(held[0]) < np.mean(held[1])
     assert lm.lm_scores(empty, target).count() == 0
+    odd = lm.lm_scores(docs, docs.select("doc_id"))
+    assert odd.count() == docs.count() and odd.filter("n_words > 0 and score is null").count() == 0
+    twice = spark.createDataFrame([(None, "a b c", 1), (7, "a b c", 2), (7, "a b c", 3), (8, "x " * 50_000, 4)], "doc_id long, text string, chunk int")
+    again = lm.lm_scores(twice, spark.createDataFrame([], "doc_id long")).collect()
+    assert sorted(r.n_words for r in again) == [3, 3, 3, 50_000] and all(r.target_loss == pytest.approx(np.log(4)) for r in again)
 
 
 def test_rollup(spark, docs, empty):
