@@ -28,7 +28,7 @@ PRIOR = 50.0
 #: Words and documents after which a chunk ends; a longer document is a chunk by itself.
 CHUNK_WORDS, CHUNK_DOCS = 2_000_000, 100_000
 #: Words of the corpus for each bucket.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 2_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Stands before a text's first word; no word is empty, so no word has this hash by rule.
 _START = word_hashes([b""])
@@ -95,10 +95,11 @@ class _Chunk:
         keys = mix(h[pairs >> 32] * _FACTOR + h[pairs & 0xFFFFFFFF])
         order, place = np.argsort(keys), np.argsort(words)
         self.keys = keys[order], words[place]
+        del h, keys, prev
         self.word_place = np.empty(len(words), np.int64)
         self.word_place[place] = np.arange(len(words))
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         #: Place of each word's bigram and word.
         self.at = rank[at], self.word_place[self.ids]
         #: Local ids of each bigram's words, in the order of keys.
@@ -143,7 +144,9 @@ def _totals(key, blocks):
     """Totals of a bucket's keys, for each block in its order, and a row of sums (chunk NULL)."""
     keys = [np.cumsum(_unpack(b.as_py(), np.uint64), dtype=np.uint64) for b in blocks.column("keys")]
     sizes = [len(k) for k in keys]
-    kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = np.concatenate(keys)
+    kinds, at = np.unique(keys, return_inverse=True)
+    del keys
     sums = []
     for name in ("total", "target"):
         s = np.zeros(len(kinds), np.int64)
