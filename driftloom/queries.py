@@ -578,14 +578,25 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(spark, d, entry, case, name: str) -> str:
-    """A folder of eight documents with one element for each user, their events in order within it."""
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", entry.alias("entry"))
-    in_order = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "entry"))), lambda x: x["entry"]), "")
-    users = e.groupBy("user_id").agg(in_order("event_id").alias("entries")).select("user_id", case(F.col("user_id").cast("string"), F.col("entries")).alias("entry"))
-    files = users.groupBy((F.col("user_id") % 8).alias("file")).agg(F.concat(F.lit("<log>"), in_order("user_id"), F.lit("</log>")).alias("value"))
+def _written(spark, d, entry, opening, closing: str, name: str) -> str:
+    """A folder of eight documents with one element for each user, their events in order within it, a line for each
+    event: its entry, with the tags that open or close its user's element and the document where it is at an end."""
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/events.parquet").filter("user_id is not null")
+    e = e.select((F.col("user_id") % 8).alias("file"), "user_id", "event_id", entry.alias("entry"), opening(F.col("user_id").cast("string")).alias("opening"))
+    w = Window.partitionBy("file").orderBy("user_id", "event_id", "entry")
+    e = e.withColumn("before", F.lag("user_id").over(w)).withColumn("after", F.lead("user_id").over(w))
+    tag = lambda at, text: F.when(at, text).otherwise("")
+    user, last = F.col("user_id"), F.col("after").isNull()
+    line = F.concat(
+        tag(F.col("before").isNull(), F.lit("<log>")), tag(~user.eqNullSafe(F.col("before")), F.col("opening")),
+        F.coalesce("entry", F.lit("")),
+        tag(~user.eqNullSafe(F.col("after")), F.lit(closing)), tag(last, F.lit("</log>")),
+    )
     folder = _folder(spark, name)
-    files.write.partitionBy("file").text(folder)
+    # The window leaves the rows sorted by file first, so the writer keeps their order.
+    e.select("file", line.alias("value")).write.partitionBy("file").text(folder)
     return folder
 
 
@@ -593,7 +604,7 @@ def _mxml(spark, d) -> str:
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     kind = F.when(F.col("event_id") % 3 == 0, "start").otherwise("complete")
     entry = F.concat(F.lit("<AuditTrailEntry><Data><Attribute name='x'>a</Attribute><Attribute name='v'>"), F.col("value").cast("string"), F.lit("</Attribute></Data><WorkflowModelElement>user "), F.col("event_type"), F.lit("</WorkflowModelElement><EventType>"), kind, F.lit("</EventType><Timestamp>"), stamp, F.lit("</Timestamp><Originator>o"), (F.col("event_id") % 7).cast("string"), F.lit("</Originator></AuditTrailEntry>"))
-    return _written(spark, d, entry, lambda user, entries: F.concat(F.lit("<ProcessInstance id='"), user, F.lit("'>"), entries, F.lit("</ProcessInstance>")), "mxml")
+    return _written(spark, d, entry, lambda user: F.concat(F.lit("<ProcessInstance id='"), user, F.lit("'>")), "</ProcessInstance>", "mxml")
 
 
 MX = "mx AS (SELECT user_id::VARCHAR AS \"CaseId\", 'user ' || event_type AS el, CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'complete' END AS ty, strftime(ts, '%Y-%m-%d %H:%M:%S') AS st, 'o' || (event_id % 7) AS orig, value, event_id FROM events)"
@@ -636,7 +647,7 @@ def q_scan_xes(spark, d):
 
     pair = lambda kind, key, value: F.concat(F.lit(f"<{kind} key='{key}' value='"), value, F.lit("'/>"))
     entry = F.concat(F.lit("<event>"), pair("string", "concept:name", F.col("event_type")), pair("date", "time:timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), pair("float", "value", F.col("value").cast("string")), pair("int", "part", (F.col("event_id") % 7).cast("string")), F.lit("</event>"))
-    folder = _written(spark, d, entry, lambda user, entries: F.concat(F.lit("<trace>"), pair("string", "concept:name", user), entries, F.lit("</trace>")), "xes")
+    folder = _written(spark, d, entry, lambda user: F.concat(F.lit("<trace>"), pair("string", "concept:name", user)), "</trace>", "xes")
     e = flatten_xes(read_xes(spark, folder), {"case:concept:name": "string", "concept:name": "string", "time:timestamp": "timestamp_ntz", "value": "double", "part": "long"})
     e = e.toDF("case_name", "activity", "ts", "value", "part", "event_order")
     return e.withColumn("nth", F.row_number().over(Window.partitionBy("case_name").orderBy("event_order")).cast("long")).drop("event_order")

@@ -384,3 +384,35 @@ def test_squares_of_values_far_from_zero(spark, mini_log):
     for r in transition_matrix(t, WindowSpec(12, 3), 40, numeric=("v",)).collect():
         x = [k % 3 for k in range(r.window_index * 3, r.window_index * 3 + 12)]
         assert r.numerical_std_v == pytest.approx((sum((y - sum(x) / 12) ** 2 for y in x) / 11) ** 0.5, rel=1e-6)
+
+
+def _events(spark, folder, users: int, each: int) -> str:
+    """A table of events, ``each`` for every user, dealt to users in turn."""
+    rows = [(k, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=k)).to_pydatetime(), k % users, ("click", "view", "error")[k % 3], k / 4) for k in range(users * each)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def _lines(folder: str) -> dict[str, list[str]]:
+    from pathlib import Path
+
+    return {p.parent.name: p.read_text().splitlines() for p in Path(folder.removeprefix("file:")).rglob("part-*")}
+
+
+def test_prep_mxml_writes_a_line_for_each_event(spark, tmp_path):
+    from driftloom import queries
+
+    d = _events(spark, tmp_path, 40, 30)
+    docs = _lines(queries._mxml(spark, d))
+    assert len(docs) == 8 and sum(map(len, docs.values())) == 1200
+    assert max(len(x) for lines in docs.values() for x in lines) < 400
+    for lines in docs.values():
+        text = "".join(lines)
+        assert text.startswith("<log><ProcessInstance id='") and text.endswith("</AuditTrailEntry></ProcessInstance></log>") and text.count("<ProcessInstance ") == text.count("</ProcessInstance>") == 5
+    got = {tuple(r): n for *r, n in queries.q_prep_mxml(spark, d).groupBy("CaseId", "WorkflowModelElement", "Activity").count().collect()}
+    want = {}
+    for k in range(1200):
+        kind = ("click", "view", "error")[k % 3]
+        key = (str(k % 40), f"user {kind}", "Press" if kind == "click" else f"user_{kind}")
+        want[key] = want.get(key, 0) + 1
+    assert got == want
