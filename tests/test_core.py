@@ -416,3 +416,14 @@ def test_prep_mxml_writes_a_line_for_each_event(spark, tmp_path):
         key = (str(k % 40), f"user {kind}", "Press" if kind == "click" else f"user_{kind}")
         want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+def test_scan_mxml_of_one_long_case(spark, tmp_path):
+    from driftloom import queries
+
+    d = _events(spark, tmp_path, 1, 3000)
+    docs = _lines(queries._mxml(spark, d))
+    assert [len(lines) for lines in docs.values()] == [3000] and max(len(x) for lines in docs.values() for x in lines) < 400
+    got = queries.q_scan_mxml(spark, d).orderBy("nth").collect()
+    want = [("0", f"user {('click', 'view', 'error')[k % 3]}", "complete" if k % 3 else "start", f"o{k % 7}", k / 4, k + 1) for k in range(3000)]
+    assert [(r.CaseId, r.WorkflowModelElement, r.EventType, r.Originator, r.Data, r.nth) for r in got] == want
