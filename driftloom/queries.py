@@ -578,13 +578,19 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Events of a document, about; cases stay whole.
+EVENTS_A_DOCUMENT = 50_000
+
+
 def _written(spark, d, entry, opening, closing: str, name: str) -> str:
-    """A folder of eight documents with one element for each user, their events in order within it, a line for each
-    event: its entry, with the tags that open or close its user's element and the document where it is at an end."""
+    """A folder of documents, eight or as many as the events ask for, with one element for each user, their events in
+    order within it, a line for each event: its entry, with the tags that open or close its user's element and the
+    document where it is at an end."""
     from pyspark.sql import Window
 
     e = spark.read.parquet(f"{d}/events.parquet").filter("user_id is not null")
-    e = e.select((F.col("user_id") % 8).alias("file"), "user_id", "event_id", entry.alias("entry"), opening(F.col("user_id").cast("string")).alias("opening"))
+    files = max(8, -(-e.count() // EVENTS_A_DOCUMENT))
+    e = e.select((F.col("user_id") % files).alias("file"), "user_id", "event_id", entry.alias("entry"), opening(F.col("user_id").cast("string")).alias("opening"))
     w = Window.partitionBy("file").orderBy("user_id", "event_id", "entry")
     e = e.withColumn("before", F.lag("user_id").over(w)).withColumn("after", F.lead("user_id").over(w))
     tag = lambda at, text: F.when(at, text).otherwise("")

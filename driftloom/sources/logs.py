@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import with_dense_id
+from ..functions.staging import with_dense_id, with_read_order
 from ..operators.prepare import completed_only, island_ids, with_aliases
 
 MXML = "_id string, AuditTrailEntry array<struct<WorkflowModelElement: string, EventType: string, Timestamp: string, timestamp: string, Originator: string, Data: struct<Attribute: array<struct<_VALUE: string, _name: string>>>>>"
@@ -22,11 +22,10 @@ def read_mxml(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
         raw = spark.read.format("xml").option("rowTag", "ProcessInstance").schema(MXML).load(path)
-        # A file is read in order by one task, or by tasks in the order of their splits.
-        rows = raw.withColumn("__file", F.input_file_name()).withColumn("__n", F.monotonically_increasing_id())
-        e = rows.select(F.col("_id").alias("CaseId"), "__file", "__n", F.posexplode("AuditTrailEntry").alias("__k", "e"))
-        out = e.select("CaseId", "__file", "__n", "__k", F.col("e.WorkflowModelElement").alias("WorkflowModelElement"), F.col("e.EventType").alias("EventType"), F.coalesce(F.col("e.Timestamp"), F.col("e.timestamp")).alias("Timestamp"), F.col("e.Originator").alias("Originator"), F.element_at(F.col("e.Data.Attribute._VALUE"), -1).alias("Data"))
-        return with_dense_id(out, "event_order", "__file", "__n", "__k").drop("__file", "__n", "__k")
+        rows = raw.withColumn("__file", F.input_file_name()).withColumn("__start", F.input_file_block_start())
+        e = rows.select(F.col("_id").alias("CaseId"), "__file", "__start", F.explode("AuditTrailEntry").alias("e"))
+        out = e.select("CaseId", "__file", "__start", F.col("e.WorkflowModelElement").alias("WorkflowModelElement"), F.col("e.EventType").alias("EventType"), F.coalesce(F.col("e.Timestamp"), F.col("e.timestamp")).alias("Timestamp"), F.col("e.Originator").alias("Originator"), F.element_at(F.col("e.Data.Attribute._VALUE"), -1).alias("Data"))
+        return with_read_order(out, "event_order", "__file", "__start")
     finally:
         spark.conf.set("spark.sql.caseSensitive", "false")
 

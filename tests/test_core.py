@@ -444,3 +444,21 @@ def test_scan_mxml_of_one_long_case(spark, tmp_path):
     got = queries.q_scan_mxml(spark, d).orderBy("nth").collect()
     want = [("0", f"user {('click', 'view', 'error')[k % 3]}", "complete" if k % 3 else "start", f"o{k % 7}", k / 4, k + 1) for k in range(3000)]
     assert [(r.CaseId, r.WorkflowModelElement, r.EventType, r.Originator, r.Data, r.nth) for r in got] == want
+
+
+def test_mxml_documents_and_event_order_of_many_events(spark, tmp_path, monkeypatch):
+    from driftloom import queries
+    from driftloom.sources import logs
+
+    monkeypatch.setattr(queries, "EVENTS_A_DOCUMENT", 100)
+    d = _events(spark, tmp_path, 40, 50)
+    folder = queries._mxml(spark, d)
+    docs = _lines(folder)
+    assert len(docs) == 20 and {len(lines) for lines in docs.values()} == {100}
+    e = logs.read_mxml(spark, folder)
+    rows = e.orderBy("event_order").collect()
+    assert [r.event_order for r in rows] == list(range(2000))
+    assert [r.CaseId for r in rows] == [c for f in sorted(docs, key=lambda f: f"{f}/") for c in (f[5:], str(int(f[5:]) + 20)) for _ in range(50)]
+    assert sum(x.CaseId != y.CaseId for x, y in zip(rows, rows[1:])) == 39
+    got = {(r.CaseId, r.nth): r.Data for r in queries.q_scan_mxml(spark, d).collect()}
+    assert got == {(str(k % 40), k // 40 + 1): k / 4 for k in range(2000)}
