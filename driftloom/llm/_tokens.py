@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: White space other than the four plain kinds: such texts are encoded as a whole.
 ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -77,6 +80,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Lets go of the encoder that a worker keeps, where the worker goes on with other work, and of memory that is
+    free but not returned. An encoder and its cache may take some hundred MB, in each worker of an executor."""
+    if not _ENCODERS:
+        return
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def encoded(path: str, texts: Iterable[str | None], end_id: int | None) -> Iterable[bytes]:
     e, end = encoder(path).encode, b"" if end_id is None else int(end_id).to_bytes(4, "little")
     return (e(x) + end for x in texts)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ._base import NO_ID, id_back, id_key, stage
 from ._graph import Union, components
+from ._tokens import release
 from ._words import rolling, word_hashes
 
 #: Groups of a point, and of the folded point that boxes and the first bound take.
@@ -133,6 +134,7 @@ def _frequent(docs: DataFrame, k: int, t: int) -> np.ndarray:
     """The shingles of most documents among the first of each document by hash, sorted."""
 
     def run(batches):
+        release()
         for b in batches:
             held = [_prefix(shingles(text.as_py(), k), t) for text in b.column(0)]
             token, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
@@ -152,6 +154,7 @@ def _signatures(docs: DataFrame, k: int, t: int) -> DataFrame:
     last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, t))
 
     def run(batches):
+        release()
         for b in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
             n, digest, point, prefix = [], [], [], []
             for text in b.column(1).to_pylist():

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tokens import release
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 #: Labelers and how reliable each is taken to be before any vote is seen; TRUST votes' worth, so the corpus decides.
@@ -195,6 +197,7 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[int, i
     """How often each code occurs in the corpus; the rows are bounded by the codes there are."""
 
     def run(batches):
+        release()
         for b in batches:
             c = Counter(code_of(kind, v) for x in b.column(0).to_pylist() for kind, _, _, _, v in candidates(x))
             yield pa.RecordBatch.from_pydict({"code": pa.array(list(c), pa.int32()), "n": pa.array(list(c.values()), pa.int64())})
@@ -242,6 +245,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     model = train(docs, text_col=text_col) if model is None else model
 
     def run(batches):
+        release()
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -263,6 +267,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", accept: float = 0.5, mode
     model = train(docs, text_col=text_col) if model is None else model
 
     def run(batches):
+        release()
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = [redacted(x, spans_of(x, model, accept)) for x in b.column(at).to_pylist()]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._base import SPACES, stage
+from ._tokens import release
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -161,6 +162,7 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", keep_at: float = 0.5)
         mark += "_"
 
     def run(batches):
+        release()
         for b in batches:
             found = [measure(x) for x in b.column(text_col).to_pylist()]
             yield b.append_column(mark, pa.array([2 * pattern_of(v) + f["base_failed"] for f, v in found], pa.int32()))
@@ -181,6 +183,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``keep_at`` keeps; an empty table gives no rows; other columns are left alone."""
 
     def run(batches):
+        release()
         for b in batches:
             found = [measure(x) for x in b.column(1).to_pylist()]
             data = {"doc_id": b.column(0)} | {c: pa.array([f[c] for f, _ in found], pa.int64()) for c in _FEATURES}

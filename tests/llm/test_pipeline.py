@@ -60,3 +60,42 @@ def test_rows_that_share_an_id(spark, tables):
         # Of rows equal in id and text, either may stay.
         got = {r.row_id for r in docs.collect()}
         assert docs.columns == ["doc_id", "text", "row_id", "row_text", "n_chars"] and (got if 3 in got else got - {6} | {3}) == want
+
+
+def test_workers_let_go_of_the_encoder_before_other_stages(spark):
+    import public_tokenizers
+
+    from driftloom.llm import _tokens
+    from driftloom.llm.jaccard import _signatures
+    from driftloom.llm.pii import redact
+    from driftloom.llm.quality import keep_good
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def held(stage):
+        """Encoders that are left when a worker which had one has run the stage's function."""
+        import pickle
+
+        from pyspark import cloudpickle
+
+        found = []
+        frame = type("Frame", (), {"columns": ["text"], "schema": spark.createDataFrame([], "text string").schema, "sparkSession": spark})()
+
+        class Run(Exception):
+            pass
+
+        def take(f, *_):
+            found.append(pickle.loads(cloudpickle.dumps(f)))
+            raise Run
+
+        frame.mapInArrow = take
+        frame.select = lambda *_: frame
+        with pytest.raises(Run):
+            stage(frame)
+        _tokens.encoder(path)
+        list(found[0](iter([])))
+        return len(_tokens._ENCODERS)
+
+    assert held(keep_good) == 0
+    assert held(lambda f: _signatures(f, 5, 80)) == 0
+    assert held(lambda f: redact(f, model={})) == 0
